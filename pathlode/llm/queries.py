@@ -84,8 +84,8 @@ _SQL_OP1 = r"""
                    + (length(role) - length(replace(role, '\', ''))) + (length(text) - length(replace(text, '\', '')))
                    + (length(text) - length(replace(text, '</turn>', ''))) // 7
                    + (length(role) - length(replace(role, '</turn>', ''))) // 7
-                   + list_sum([0] || list_transform(regexp_extract_all(text, '##+'), x -> greatest(length(x) - 2, 0)))
-                   + list_sum([0] || list_transform(regexp_extract_all(role, '##+'), x -> greatest(length(x) - 2, 0)))
+                   + list_sum([0] || list_transform(regexp_extract_all(text, '##+'), lambda x: greatest(length(x) - 2, 0)))
+                   + list_sum([0] || list_transform(regexp_extract_all(role, '##+'), lambda x: greatest(length(x) - 2, 0)))
                    + (length(text) - length(replace(text, ':' || chr(10), ''))) // 2
                    + (length(role) - length(replace(role, ':' || chr(10), ''))) // 2) AS formatted_chars
         FROM said GROUP BY conv_id)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,22 +48,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch() -> None:
-    """Delete the scratch tables written so far. Call it only when no lazy result needs them."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the folder goes with it
-            continue
+@contextlib.contextmanager
+def collected_scratch() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Lists the scratch tables that are written inside."""
+    start, tables = len(_written), []
+    try:
+        yield tables
+    finally:
+        tables += _written[start:]
+        del _written[start:]
+
+
+def drop_scratch(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete scratch tables. Call it only when no lazy result needs them any more."""
+    while tables:
+        spark, path = tables.pop()
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _forget() -> None:
-    import shutil
-
     for path in _own_root.values():
         shutil.rmtree(path, ignore_errors=True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlode.llm import chat, quality, urls
+from pathlode.llm import chat, decontam, line_dedup, mixing, near_dup, quality, sharding, urls
 
 # The rules of the URL query, and hosts listed for its method.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -64,12 +64,32 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_chat": op1_chat, "op2_urls": op2_urls, "op9_quality": op9_quality}
+    return {"op1_chat": op1_chat, "op2_urls": op2_urls, "op3_near_dup": op3_near_dup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op7_line_dedup": op7_line_dedup, "op8_mixing": op8_mixing, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": _SQL_OP1, "op2_urls": _sql_op2()}
+    return {"op1_chat": _SQL_OP1, "op2_urls": _sql_op2(), "op5_decontamination": _SQL_OP5}
 
 
 _SQL_OP1 = r"""
@@ -92,3 +112,20 @@ _SQL_OP1 = r"""
     SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss_text) AS loss_chars,
            sha256(loss_text) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
     FROM conv"""
+
+_SQL_OP5 = r"""
+    WITH texts AS (
+        SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+    tokens AS (
+        SELECT kind, id, list_filter(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+        FROM texts),
+    shingles AS (
+        SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k + 4], ' '))) AS s
+        FROM tokens WHERE len(w) > 0),
+    sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id),
+    both_have AS (
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n
+        FROM shingles d JOIN shingles i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+    SELECT doc_id, item_id, b.n AS n_found, s.n AS n_item, b.n / s.n AS containment
+    FROM both_have b JOIN sizes s ON b.item_id = s.id WHERE 100 * b.n >= 75 * s.n"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlode.llm import chat, decontam, line_dedup, mixing, near_dup, quality, sharding, urls
+from pathlode.llm import chat, decontam, html_text, language, line_dedup, mixing, near_dup, quality, sharding, urls
 
 # The rules of the URL query, and hosts listed for its method.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -76,6 +76,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, model, extra={"held_out": language.held_out(F.col("doc_id"))})
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents"))
 
@@ -85,7 +96,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_chat": op1_chat, "op2_urls": op2_urls, "op3_near_dup": op3_near_dup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op7_line_dedup": op7_line_dedup, "op8_mixing": op8_mixing, "op9_quality": op9_quality}
+    return {"op1_chat": op1_chat, "op2_urls": op2_urls, "op3_near_dup": op3_near_dup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op6_language": op6_language, "op7_line_dedup": op7_line_dedup, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:

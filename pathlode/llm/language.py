@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, DISCOUNT, MAX_ROWS = 4, 0.75, 2000
+ORDER, DISCOUNT, MAX_ROWS, MAX_LANGUAGES = 4, 0.75, 2000, 4096
 UNKNOWN = "und"
 #: Largest alphabet (the most frequent letters of the labelled rows); other letters share one place.
 MAX_LETTERS = 510
@@ -312,9 +312,13 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     """Fit on rows with a language. At most about ``max_rows`` rows of each language are used: those whose
     hash of the id lies below the share that gives so many. A tenth of them only calibrates."""
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang is not null")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("c")).select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("c")).alias("share"))
+    totals = rows.groupBy("lang").agg(F.count("*").alias("c")).limit(MAX_LANGUAGES + 1).collect()
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    shares = {r.lang: min(1.0, max_rows / r.c) for r in totals}
+    share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")] if shares else F.lit(0.0)
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(totals, F.col("lang") == F.col("l")).where(draw < F.col("share"))
+    sample = rows.where(draw < share)
     tenth = F.pmod(F.xxhash64(F.lit("tenth"), F.col("id").cast("string")), F.lit(10)) == 0
     counted = sample.where(~tenth).select("lang", "text").mapInArrow(_count_batches(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}

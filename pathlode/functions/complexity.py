@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lz76_phrases(data: bytes) -> int:
@@ -26,12 +27,12 @@ def lz76_complexity(data: bytes) -> float:
     return 0.0 if n < 2 else min(1.0, lz76_phrases(data) / (n / math.log2(n)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lz_complexity(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else lz76_complexity(t.encode()))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def zstd_size(texts: pd.Series) -> pd.Series:
     import zstandard
 

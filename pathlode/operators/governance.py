@@ -90,7 +90,7 @@ def churn(table: DataFrame, author: str, ts: str) -> DataFrame:
 
 def half_life(table: DataFrame, author: str, ts: str) -> DataFrame:
     """One row: contributor_half_life_days, the median of (last - first) over authors."""
-    spans = table.where(F.col(author).isNotNull() & F.col(ts).isNotNull()).groupBy(author).agg((F.unix_seconds(F.max(ts)) - F.unix_seconds(F.min(ts))).alias("s"))
+    spans = table.where(F.col(author).isNotNull() & F.col(ts).isNotNull()).groupBy(author).agg((F.unix_seconds(F.max(ts).cast("timestamp")) - F.unix_seconds(F.min(ts).cast("timestamp"))).alias("s"))
     return spans.groupBy("s").agg(F.count("*").alias("w")).agg((F.percentile("s", 0.5, F.col("w")) / 86400).alias("contributor_half_life_days"))
 
 

@@ -76,7 +76,7 @@ def trend(points: DataFrame, keys: list[str], order: str, value: str) -> DataFra
 
 def gaps(table: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """For each key: events, duplicates (equal times in a row), median_gap, mad_gap, n_gaps beyond median + 3 MAD."""
-    t = F.unix_seconds(ts)
+    t = F.unix_seconds(F.col(ts).cast("timestamp"))
     steps = table.where(F.col(ts).isNotNull()).select(*keys, (t - F.lag(t).over(Window.partitionBy(*keys).orderBy(t))).alias("gap"))
     counted = steps.where("gap is not null").groupBy(*keys, "gap").agg(F.count("*").alias("w"))
     mid = counted.groupBy(*keys).agg(F.percentile("gap", 0.5, F.col("w")).alias("median_gap"))

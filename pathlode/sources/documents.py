@@ -302,7 +302,7 @@ def canonical_json(value: object) -> str:
         if "e" in text:
             head, power = text.split("e")
             p = int(power)
-            if -7 <= p < 0:
+            if -6 <= p < 0:
                 digits = head.replace(".", "").replace("-", "")
                 return ("-" if x < 0 else "") + "0." + "0" * (-p - 1) + digits
             return f"{head.removesuffix('.0')}e{'+' if p > 0 else ''}{p}"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlode.functions import complexity, recognizers, redaction
-from pathlode.operators import anomalies, drift, essence, fingerprints, governance, profile, relations, separation, sketches, temporal
+from pathlode.operators import anomalies, compare, drift, essence, fingerprints, governance, profile, relations, separation, sketches, temporal
 from pathlode.plans import query
 from pathlode.sources.documents import json_nodes
 from pathlode.sources.tables import table_nodes
@@ -633,3 +633,45 @@ def essence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = profile.path_inventory(nodes)
     found = essence.from_statistics(stats).union(essence.from_anomalies(anomalies.numeric_outliers(nodes), anomalies.rare_values(nodes), anomalies.type_instabilities(nodes))).union(essence.from_inventory(paths))
     return rounded(essence.score(found, essence.profile("engineer")))
+
+
+@register()
+def dataset_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    parts = {s: orders.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
+    return rounded(compare.dataset_metrics(parts, "o_custkey", "o_orderdate"))
+
+
+@register()
+def dataset_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_linenumber")
+    parts = {f: table_nodes(lines.where(F.col("l_returnflag") == f).drop("l_returnflag")) for f in ("A", "N", "R")}
+    return rounded(compare.pairwise_drift(parts))
+
+
+@register()
+def hint_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select(*LINE_FIELDS)
+    hints = [compare.Hint("status_of_line", ("l_returnflag", "l_linestatus"), "dependency", 0.9), compare.Hint("number_of_line", ("l_linenumber", "l_linestatus"), "dependency", 0.5), compare.Hint("absent", ("l_linenumber", "nowhere"), "dependency", 0.5)]
+    paths = table_nodes(lines).select("path").distinct()
+    return rounded(compare.evaluate_hints(hints, paths, relations.discover(lines)))
+
+
+@register(
+    """SELECT event_id AS record_id, 'npm' AS manifest, f AS finding, s AS severity, n::BIGINT AS count FROM events, (VALUES ('npm_dependency_count', 'info', 1), ('npm_missing_provenance', 'notable', 0)) t(f, s, n) WHERE event_id % 2 = 0
+       UNION ALL SELECT event_id, 'npm', f, s, 1 FROM events, (VALUES ('npm_install_hook', 'concern'), ('npm_script_count', 'info')) t(f, s) WHERE event_id % 6 = 0"""
+)
+def structural_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    scripts = F.when(e % 6 == 0, ',"scripts":{"postinstall":"x"}').otherwise("")
+    body = F.when(e % 2 == 0, F.concat(F.lit('{"name":"p","version":"1","dependencies":{"a":"1"}'), scripts, F.lit("}"))).otherwise('{"name":"p"}')
+    return compare.structural_findings(json_nodes(read(spark, sf_dir, "events").select("event_id", body.alias("b")), "event_id", "b"))
+
+
+@register(
+    """WITH g AS (SELECT DISTINCT event_type AS g FROM events) SELECT g, min(g) OVER () AS cluster, count(*) OVER () AS size FROM g"""
+)
+def corpus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    shapes = fingerprints.merkle_shapes(events, "event_id", "props").join(events.select("event_id", "event_type"), "event_id")
+    return compare.corpus_clusters(shapes, "event_type")

@@ -5,9 +5,10 @@
    get one true minimum for each register instead, kept in the same form; sets of a size near the border
    get both, so that no pair of similar size is left without a common form.
 2. Texts with the same set are one class, found by a 128-bit digest of the set; only classes go on.
-3. Bands of ROWS registers are grouped. Within a group, members are linked to one representative, never
-   to each other: rounds with different representatives join what belongs together, and a last round
-   checks the few members that are still apart against the others, so that no link is lost.
+3. Bands of ROWS registers are grouped. Members of a group are compared with one representative, never
+   all with each other. Links that this leaves out are found from the members' differences to their
+   representative: copies of one text differ from each other by their own changes, so an index of
+   these few changes (prefix filter, exact) gives the pairs that are still worth a look.
 4. A candidate pair's registers give an estimate of its similarity, corrected for chance collisions of the
    compressed registers. Only pairs far below the threshold are dropped on the estimate; all others are
    confirmed on the full sets: 100 * |intersection| >= 75 * |union|.
@@ -166,8 +167,8 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             long = np.array([len(k) for k in keys])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part.column("cid").to_numpy(), long)), pa.array(np.repeat(part.column("n_shingles").to_numpy(), long)), pa.array(np.concatenate(keys))],
-                names=["cid", "n_shingles", "band"],
+                [pa.array(np.repeat(part.column("cid").to_numpy(), long)), pa.array(np.concatenate(keys))],
+                names=["cid", "band"],
             )
 
 
@@ -189,6 +190,30 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _difference_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The symmetric difference of each member's set from its representative's."""
+    center, own = None, None
+    for batch in batches:
+        cols: list[list] = [[], [], [], [], []]
+        for a, share, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "share", "b", "text")), strict=True):
+            if b is None:
+                center, own = (a, share), shingle_set(text)
+                if share:
+                    continue
+                mine = own  # the representative is a member without differences
+                b = a
+            else:
+                assert center == (a, share), "a member came before its representative"
+                mine = shingle_set(text)
+            tokens = np.setxor1d(mine, own, assume_unique=True).view(np.int64)
+            cols[0].append(a)
+            cols[1].append(b)
+            cols[2].append(len(mine))
+            cols[3].append(len(tokens))
+            cols[4].append(tokens.tolist())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], names=["a", "b", "n", "size", "tokens"])
+
+
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Written table: rid (a number of its own for each row), doc_id, text, n_shingles, digest, sketch.
 
@@ -200,8 +225,8 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     return materialize(slim.mapInArrow(_sketch_batches, schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
 
 
-def confirm(pairs: DataFrame, payload: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar on their full sets; payload: cid, text, sketch.
+def deal_stars(pairs: DataFrame, payload: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (a, share, b, columns of the payload), sorted so that a representative (b null) comes before its members.
 
     A representative's text travels once for every STAR_SHARE of its members, so that a hot one is
     dealt to many tasks.
@@ -211,9 +236,48 @@ def confirm(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     centers = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"))
     members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b")
     rows = centers.unionByName(members).withColumn("cid", F.coalesce("b", "a"))
-    full = rows.join(payload, "cid").select("a", "share", "b", "text", "sketch")
-    dealt = full.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_confirm_batches, "a long, b long")
+    full = rows.join(payload.select("cid", *columns), "cid").select("a", "share", "b", *columns)
+    return full.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+
+
+def confirm(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are similar on their full sets; payload: cid, text, sketch."""
+    return deal_stars(pairs, payload, ["text", "sketch"]).mapInArrow(_confirm_batches, "a long, b long")
+
+
+def across(stars: DataFrame, label: DataFrame, payload: DataFrame) -> DataFrame:
+    """Pairs of members of one star that can be similar although they are not yet of one component.
+
+    With A and B the differences of two members from their representative, the members' own symmetric
+    difference is |A| + |B| - 2 |A and B|. They are similar only if it is at most a seventh of the sum of
+    their sizes (at 75 %), so A and B have to have ``need`` elements in common. Most copies of one text have
+    not: their changes are their own. In an order that puts rare differences first, similar members share
+    one of the first ``size - need + 1`` of each (prefix filter); only such pairs are returned. Differences
+    that one member alone has come first and match nothing, so they are counted and not listed.
+    """
+    named = stars.join(label.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    heads = stars.select("a").distinct().join(label.select(F.col("node").alias("a"), F.col("label").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a"))
+    apart = named.join(heads, "a").groupBy("a").agg(F.count_if(F.col("label") != F.col("own")).alias("out"), F.count("*").alias("c")).where("out > 0 and c > 1").select("a")
+    active = materialize(named.join(apart, "a"), "apart")
+    told = deal_stars(active.select("a", "b"), payload, ["text"]).mapInArrow(_difference_batches, "a long, b long, n long, size long, tokens array<long>")
+    told = materialize(told.join(active, ["a", "b"]), "differences")
+    each = told.select("a", "b", F.explode("tokens").alias("token"))
+    often = each.groupBy("a", "token").agg(F.count("*").alias("c")).where("c > 1")
+    listed = each.join(often, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    share = (100 - PERCENT) / (100 + PERCENT)
+    # the partner's differences are at least 0, and its set is at most 4/3 as large
+    longest = F.col("size") - F.greatest(F.lit(0.0), (F.col("size") - share * (1 + 100 / PERCENT) * F.col("n")) / 2) + 1
+    alone = F.col("size") - F.size("t")
+    rows = listed.join(told.drop("tokens"), ["a", "b"]).select("a", "b", "n", "size", "label", alone.alias("alone"), F.slice("t", F.lit(1), F.greatest(F.lit(0), F.floor(longest - alone).cast("int"))).alias("t"))
+    index = materialize(rows.select("a", "b", "n", "size", "label", "alone", F.posexplode("t").alias("k", "x")).select("a", "b", "n", "size", "label", (F.col("alone") + F.col("k")).alias("pos"), "x.token"), "index")
+    small = index.select(*[F.col(c).alias(f"s_{c}") for c in ("a", "b", "n", "size", "label", "pos", "token")])
+    # in a pair, the smaller set of differences needs few: its partner's is no smaller
+    small = small.where(f"s_pos <= {share} * (1 + 100 / {PERCENT}) * s_n / 2 + 1")
+    need = f"((size + s_size - {share} * (n + s_n)) / 2)"
+    met = index.join(small, (F.col("a") == F.col("s_a")) & (F.col("token") == F.col("s_token"))).where(
+        f"label <> s_label and (size > s_size or (size = s_size and b > s_b)) and {_near('n', 's_n')} and pos + {need} <= size + 0.001 and s_pos + {need} <= s_size + 0.001"
+    )
+    return met.select(F.least("b", "s_b").alias("a"), F.greatest("b", "s_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -244,45 +308,34 @@ def _near(n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
 
 
-def links_of(sketched: DataFrame, classes: DataFrame, star_rounds: int = 3) -> DataFrame | None:
-    """Confirmed links (a, b) between classes, enough of them to give every component; None without any."""
+def links_of(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between classes, enough of them to give every component."""
     own = sketched.join(classes.select("cid"), sketched.rid == F.col("cid")).select("cid", "n_shingles", "sketch")
-    bands = own.mapInArrow(_band_batches, "cid long, n_shingles long, band long")
-    shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    bands = own.mapInArrow(_band_batches, "cid long, band long")
+    shared = bands.groupBy("band").agg(F.count("*").alias("c"), F.min("cid").alias("a")).where("c > 1")
     member = materialize(bands.join(shared, "band"), "bands")
-    payload = sketched.select(F.col("rid").alias("cid"), "text", "sketch")
-
-    found: DataFrame | None = None
-    tested: DataFrame | None = None
-    label: DataFrame | None = None
-    for k in range(star_rounds + 1):
-        labelled = member if label is None else member.join(label.withColumnRenamed("node", "cid"), "cid", "left")
-        labelled = labelled.withColumn("label", F.col("cid") if label is None else F.coalesce("label", "cid"))
-        if k:
-            # only groups whose members are not yet of one component
-            apart = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-            labelled = labelled.join(apart, "band")
-        if k < star_rounds:
-            order = F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n_shingles", "label") if k else F.struct(F.col("cid").alias("o"), "cid", "n_shingles", "label")
-            heads = labelled.groupBy("band").agg(F.min(order).alias("h")).select("band", F.col("h.cid").alias("a"), F.col("h.n_shingles").alias("na"), F.col("h.label").alias("la"))
-            met = labelled.join(heads, "band").where(f"cid <> a and label <> la and {_near('n_shingles', 'na')}")
-        else:
-            # every member outside a group's largest component, against all members of other components
-            most = labelled.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-            few = labelled.join(most, "band").where("label <> main").select("band", F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("label").alias("la"))
-            met = labelled.join(few, "band").where(f"cid <> a and label <> la and {_near('n_shingles', 'na')}")
-        pairs = met.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        good = materialize(confirm(pairs, payload), "confirmed")
-        found = good if found is None else found.union(good)
-        if k < star_rounds:
-            label = materialize(components(found), "labels")
-    return found
+    stars = member.where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
+    # texts of candidates only; merged, not broadcast, so that the plan is the same at every size
+    some = member.select("cid").distinct()
+    payload = materialize(sketched.select(F.col("rid").alias("cid"), "n_shingles", "text", "sketch").join(some.hint("merge"), "cid", "left_semi"), "payload")
+    size = payload.select("cid", F.col("n_shingles").alias("n"))
+
+    def test(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(size.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
+        return materialize(confirm(sized.where(_near("na", "nb")).select("a", "b"), payload), "confirmed")
+
+    # first the smallest member of each band, whoever that is
+    links = test(stars)
+    label = materialize(components(links), "labels")
+    # then, in bands that are still apart, a member of the largest component, so that differences from it are small
+    weight = label.groupBy("label").agg(F.count("*").alias("w"))
+    named = member.join(label.withColumnRenamed("node", "cid"), "cid", "left").join(weight, "label", "left").select("band", "cid", "c", F.coalesce("label", "cid").alias("label"), F.coalesce("w", F.lit(1)).alias("w"))
+    apart = named.where("c > 2").groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("w", (-F.col("cid")).alias("last"))).alias("h")).where("lo <> hi")
+    apart = apart.select("band", (-F.col("h.last")).alias("a"))
+    tight = materialize(named.select("band", F.col("cid").alias("b")).join(apart, "band").where("a <> b").select("a", "b").distinct(), "stars")
+    links = links.union(test(tight.join(stars, ["a", "b"], "left_anti")))
+    label = materialize(components(links), "labels")
+    return links.union(test(across(tight, label, payload)))
 
 
 def resolve(sketched: DataFrame) -> DataFrame:
@@ -290,14 +343,11 @@ def resolve(sketched: DataFrame) -> DataFrame:
     classes = sketched.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id"))
     classes = materialize(classes, "classes")
     links = links_of(sketched, classes)
-    if links is None:
-        named = classes.withColumn("component_id", F.col("low_id")).withColumn("component", F.col("cid"))
-    else:
-        label = components(links)
-        joined = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("label", "cid"))
-        lows = joined.where("label is not null").groupBy("component").agg(F.min("low_id").alias("low"))
-        named = joined.join(lows, "component", "left").withColumn("component_id", F.coalesce("low", "low_id"))
-        named = materialize(named.select("k1", "k2", "n_shingles", "cid", "component", "component_id"), "named")
+    label = components(links)
+    joined = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("label", "cid"))
+    lows = joined.where("label is not null").groupBy("component").agg(F.min("low_id").alias("low"))
+    named = joined.join(lows, "component", "left").withColumn("component_id", F.coalesce("low", "low_id"))
+    named = materialize(named.select("k1", "k2", "n_shingles", "cid", "component", "component_id"), "named")
     rows = sketched.select("rid", "doc_id", "n_shingles", "k1", "k2")
     out = rows.join(named.select("k1", "k2", "n_shingles", "cid", "component", "component_id"), ["k1", "k2", "n_shingles"], "left")
     return out.select("rid", "doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce("component", "rid").alias("component"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -103,12 +103,17 @@ class Model:
             total = total * self.base + padded[k : k + len(places) - 1]
         return total
 
-    def look_up(self, numbers: np.ndarray) -> np.ndarray:
-        """Log probabilities (n-grams x languages)."""
-        if self.base**self.order * len(self.languages) <= PLAIN_LIMIT:
+    def __getstate__(self) -> dict:
+        """Tables that each process makes for itself are not sent."""
+        return self.__dict__ | {"_plain": None, "_place": None}
+
+    def look_up(self, numbers: np.ndarray, spread: bool = True) -> np.ndarray:
+        """Log probabilities (n-grams x languages); ``spread``: by the plain table where it is small enough."""
+        if spread and self.base**self.order * len(self.languages) <= PLAIN_LIMIT:
             if self._plain is None:
-                every = np.arange(self.base**self.order)
-                self._plain = self._search(every).astype(np.float32)
+                self._plain = np.empty((self.base**self.order, len(self.languages)), dtype=np.float32)
+                for at in range(0, len(self._plain), 1 << 17):
+                    self._plain[at : at + (1 << 17)] = self._search(np.arange(at, min(at + (1 << 17), len(self._plain))))
             return self._plain[numbers]
         distinct, back = np.unique(numbers, return_inverse=True)
         return self._search(distinct)[back]
@@ -147,7 +152,7 @@ class Model:
             p = direct + np.where(known, table[1][at], 1.0) * p
         return np.log2(p)
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def entropies(self, texts: list[str | None], spread: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(bits by character, texts x languages; number of characters scored, 0 without a letter)."""
         codes = [normal_codes(t) for t in texts]
         lengths = np.array([max(0, len(c) - 1) for c in codes], dtype=np.int64)
@@ -159,7 +164,7 @@ class Model:
         ends = np.cumsum([len(codes[i]) for i in some])
         numbers = np.concatenate([self.gram_numbers(p, self.order) for p in np.split(places, ends[:-1])])
         starts = np.r_[0, np.cumsum(lengths[some])[:-1]]
-        logs = self.look_up(numbers)
+        logs = self.look_up(numbers, spread)
         out[some] = -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / lengths[some][:, None]
         return out, lengths
 
@@ -284,7 +289,9 @@ def calibrate(model: Model, labelled: list[tuple[str, str | None]]) -> None:
     rows = [(lang, text) for lang, text in labelled if lang in model.languages]
     if not rows or not model.languages:
         return
-    bits, lengths = model.entropies([t for _, t in rows])
+    # a few rows at a time and without the plain table: this runs in the driver
+    parts = [model.entropies([t for _, t in rows[at : at + 32]], spread=False) for at in range(0, len(rows), 32)]
+    bits, lengths = np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
     margins, right = [], []
     usual: list[list[float]] = [[] for _ in model.languages]
     for (lang, _), row, n in zip(rows, bits, lengths, strict=True):

@@ -48,29 +48,28 @@ def chunks(text: Column) -> Column:
 
         return let(F.transform(lines, lambda line: F.xxhash64(line)), with_hashes)
 
-    return F.when(text.isNotNull(), let(F.split(text, "\n"), cut))
+    return F.when(text.isNotNull(), let(F.split(text, "\n"), cut)).cast("array<struct<no:int,n_lines:int,body:string>>")
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed_lines, n_removed_chunks, text (what is left)."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = materialize(slim.withColumn("rid", F.monotonically_increasing_id()), "lines")
-    every = rows.select("rid", "doc_id", F.explode(chunks(F.col("text"))).alias("c")).where(f"c.n_lines >= {LEAST_LINES}")
-    every = every.where(F.length(F.translate("c.body", SPACES, "")) > 0)
-    keyed = every.select(
-        "rid",
-        "doc_id",
-        F.col("c.no").alias("no"),
-        F.col("c.n_lines").alias("n_lines"),
-        F.xxhash64("c.body").alias("h1"),
-        F.xxhash64(F.lit(1), "c.body").alias("h2"),
-        F.col("c.body").alias("body"),
-    )
+    # the condition always holds; it makes the exchanges of both joins below alike, so that one serves both
+    rows = materialize(slim.withColumn("rid", F.monotonically_increasing_id()), "lines").where("rid is not null")
+    # by hashes first: which chunks might be repeated, and which documents have them
+    c = F.explode(chunks(F.col("text"))).alias("c")
+    every = rows.select("rid", c).where(f"c.n_lines >= {LEAST_LINES}").where(F.length(F.translate("c.body", SPACES, "")) > 0)
+    keys = materialize(every.select("rid", F.col("c.no").alias("no"), F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(1), "c.body").alias("h2")), "chunks")
+    often = keys.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    touched = keys.join(often, ["h1", "h2"]).groupBy("rid").agg(F.collect_list(F.struct("no", "h1", "h2")).alias("maybe"))
+    # then by bytes, of these chunks only; the exchange of rows by rid serves the last join too
+    held = rows.join(touched, "rid").select("rid", "doc_id", chunks(F.col("text")).alias("cs"), F.explode("maybe").alias("m"))
+    keyed = held.select("rid", "doc_id", "m.no", "m.h1", "m.h2", F.get("cs", F.col("m.no")).alias("c")).select("rid", "doc_id", "no", "h1", "h2", "c.n_lines", "c.body")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "no")
-    by_bytes = keyed.groupBy("h1", "h2", "body").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    repeated = by_bytes.groupBy("h1", "h2").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1 and variants = 1")
-    repeated = repeated.select("h1", "h2", F.col("first.rid").alias("first_rid"), F.col("first.no").alias("first_no"))
-    again = keyed.drop("body").join(repeated, ["h1", "h2"]).where("rid <> first_rid or no <> first_no")
+    by_bytes = keyed.groupBy("h1", "h2", "body").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines"), F.min(place).alias("first"))
+    repeated = by_bytes.groupBy("h1", "h2").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.min("first").alias("first"), F.first("n_lines").alias("n_lines")).where("n > 1 and variants = 1")
+    repeated = repeated.select("h1", "h2", "n_lines", F.col("first.rid").alias("first_rid"), F.col("first.no").alias("first_no"))
+    again = keys.join(repeated, ["h1", "h2"]).where("rid <> first_rid or no <> first_no")
     removed = again.groupBy("rid").agg(F.collect_list("no").alias("gone"), F.sum("n_lines").alias("gone_lines"))
     joined = rows.join(removed, "rid", "left")
     left = let(

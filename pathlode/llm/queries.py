@@ -88,7 +88,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents"))
+    return line_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,54 @@ def test_boundaries_resist_shifts(spark):
 
 def test_empty_table(spark):
     assert line_dedup.remove_repeated_chunks(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_passages_between_private_lines(spark):
+    """Passages planted without regard to chunks: every one is found, and nothing else goes."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    line = lambda n=8: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for p in range(80):
+        passage = [line() for _ in range(2 + p % 6)] if p % 8 else [line(40)]
+        if p % 8 == 3:
+            passage.insert(1, " ")
+        for copy in range(2):
+            before, after = [line() for _ in range(rng.randrange(0, 6))], [line() for _ in range(rng.randrange(1, 6))]
+            rows.append((p + 100 * copy, "\n".join(before + passage + after)))
+            planted[p + 100 * copy] = (len(passage) if copy else 0, "\n".join(before + (passage if not copy else []) + after))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed_lines, r.text) for r in line_dedup.remove_repeated_passages(df).collect()}
+    assert got == planted
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(3)
+    pool = [f"line {k}" for k in range(8)] + ["", " \t", "long " * 50, "x" * 199]
+    rows = [(d if d % 7 else None, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for d in range(1, 41)]
+    rows += [(50, "la\nla\nla\nla"), (51, "a1\nb1\na1\nb1\na1"), (52, None), (53, ""), (54, "\n\n\n"), (55, "\n\n\n"), (56, "word\n"), (57, "word\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    starts = {r.text: [(c.no, c.n_lines) for c in r.c] for r in df.where("text is not null").select("text", line_dedup.chunks(F.col("text")).alias("c")).distinct().collect()}
+    seen, expected = {}, []
+    for place, (d, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        if t is None:
+            expected.append((d, 0, 0, None))
+            continue
+        lines, gone, at = t.split("\n"), set(), 0
+        has = [bool(x.strip(" \t\n\x0b\x0c\r")) for x in lines]
+        units = []
+        for _, n in starts[t]:
+            units += [("chunk", at, n)] if n >= 2 and any(has[at : at + n]) else []
+            at += n
+        full = [i for i, x in enumerate(has) if x]
+        units += [("pair", i, j - i + 1) for i, j in zip(full, full[1:], strict=False)]
+        units += [("line", i, 1) for i in full if len(lines[i]) >= 200]
+        for kind, i, n in units:
+            first = seen.setdefault((kind, "\n".join(lines[i : i + n])), (place, i, n))
+            if first[:2] != (place, i):
+                gone |= set(range(max(i, first[1] + first[2]) if first[0] == place else i, i + n))
+        expected.append((d, len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    got = [(r.doc_id, r.n_lines, r.n_removed_lines, r.text) for r in line_dedup.remove_repeated_passages(df).collect()]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=key) == sorted(expected, key=key)
+    assert {r[0]: r[3] for r in expected}[50] == "la\nla"

@@ -102,19 +102,36 @@ def jaccard_pairs(items: DataFrame, document: str, item: str, least: float = THR
     """a, b, jaccard of all pairs of documents over ``least``, exactly.
 
     Prefix filter: two sets can only be so similar if they share one of the first few of their items in
-    an order that puts rare items first, so only those meet in the join.
+    an order that puts rare items first, so only those meet in the join. A pair that met goes on only if
+    the items it has in common there, plus all that follow the last of them, could be enough.
     """
     slim = items.select(F.col(document).alias("d"), F.col(item).alias("i")).distinct()
     rare = slim.groupBy("i").agg(F.count("*").alias("df"))
     sets = slim.join(rare, "i").groupBy("d").agg(F.sort_array(F.collect_list(F.struct("df", "i"))).alias("s"))
     sets = sets.select("d", F.transform("s", lambda x: x["i"]).alias("s"))
     prefix = F.slice("s", F.lit(1), F.size("s") - F.ceil(least * F.size("s")).cast("int") + 1)
-    keys = sets.select("d", F.explode(prefix).alias("k"))
-    met = keys.select(F.col("d").alias("a"), "k").join(keys.select(F.col("d").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
+    keys = sets.select("d", F.size("s").alias("n"), F.posexplode(prefix).alias("at", "k"))
+    left, right = (keys.select("k", F.col("d").alias(x), F.col("n").alias("n" + x), F.col("at").alias("at" + x)) for x in "ab")
+    met = left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(f + x).alias(f + x) for f in ("n", "at") for x in "ab"])
+    most = F.col("c") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
+    met = met.where(most > least * (F.col("na") + F.col("nb") - most)).select("a", "b")
     both = met.join(sets.select(F.col("d").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("y")), "b")
     return both.select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("jaccard")).where(F.col("jaccard") > least)
 
 
+def similar_links(items: DataFrame, document: str, item: str, least: float = THRESHOLD) -> DataFrame:
+    """Edges (a, b) that connect just the documents which links over ``least`` connect, exactly.
+
+    Documents of equal sets are linked to the smallest of them, and only that one is compared with others.
+    """
+    slim = items.select(F.col(document).alias("d"), F.col(item).alias("i")).where("d is not null and i is not null").distinct()
+    sets = slim.groupBy("d").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("i"))), 256).alias("s"))
+    firsts = sets.groupBy("s").agg(F.min("d").alias("a"))
+    copies = sets.join(firsts, "s").where("d <> a").select("a", F.col("d").alias("b"))
+    unlike = slim.join(firsts.select(F.col("a").alias("d")), "d")
+    return copies.union(jaccard_pairs(unlike, "d", "i", least).select("a", "b"))
+
+
 def minhash_signatures(items: DataFrame, document: str, item: str, hashes: int = HASHES) -> DataFrame:
     """document, signature array<bigint>: the smallest of each hash function over the document's items."""
     low = [F.min(F.xxhash64(F.col(item), F.lit(k))).alias(f"h{k}") for k in range(hashes)]
@@ -128,12 +145,14 @@ def minhash_similarity(a, b):
 
 
 def lsh_pairs(signatures: DataFrame, document: str, bands: int = BANDS, hashes: int = HASHES) -> DataFrame:
-    """Candidate pairs (a, b): documents that agree in all rows of a band; each with its band's smallest member."""
+    """Candidate pairs (a, b), a < b: all documents that agree in all rows of a band, to be confirmed on their sets.
+
+    A pair of similarity J is met with chance 1 - (1 - J^rows)^bands, so some are missed; ``similar_links`` misses none.
+    """
     rows = hashes // bands
     keys = F.array(*[F.xxhash64(F.lit(k), F.slice("signature", k * rows + 1, rows)) for k in range(bands)])
     banded = signatures.select(F.col(document).alias("b"), F.explode(keys).alias("band"))
-    first = banded.groupBy("band").agg(F.min("b").alias("a"), F.count("*").alias("c")).where("c > 1").select("band", "a")
-    return banded.join(first, "band").where("a <> b").select("a", "b").distinct()
+    return banded.withColumnRenamed("b", "a").join(banded, "band").where("a < b").select("a", "b").distinct()
 
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -142,8 +161,10 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round is checkpointed in the session's checkpoint folder, if it has one.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     safe = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    # each round reads the edges: they are made once
+    both = both.checkpoint() if safe else both.persist()
+    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     for _ in range(rounds):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", "m").alias("now"))

@@ -525,11 +525,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def minhash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("d"), F.col("l_partkey").alias("i"))
-    signatures = fingerprints.minhash_signatures(lines, "d", "i")
-    met = fingerprints.lsh_pairs(signatures, "d")
-    both = met.join(signatures.select(F.col("d").alias("a"), F.col("signature").alias("x")), "a").join(signatures.select(F.col("d").alias("b"), F.col("signature").alias("y")), "b")
-    near = both.where(fingerprints.minhash_similarity(F.col("x"), F.col("y")) > fingerprints.THRESHOLD).select("a", "b")
-    return fingerprints.clusters(lines, "d", near)
+    return fingerprints.clusters(lines, "d", fingerprints.similar_links(lines, "d", "i"))
 
 
 @register()

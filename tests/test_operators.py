@@ -126,6 +126,47 @@ def test_clusters(spark):
     assert got == {0: (0, 4), 1: (0, 4), 2: (0, 4), 3: (0, 4), 4: (4, 1), 5: (5, 2), 6: (5, 2), 7: (7, 1)}
 
 
+def _brute_clusters(sets):
+    names = sorted(sets)
+    root = {d: d for d in names}
+    for x in names:
+        for y in names:
+            if x < y and len(sets[x] & sets[y]) > 0.5 * len(sets[x] | sets[y]) and root[x] != root[y]:
+                low, high = sorted((root[x], root[y]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+def test_similar_links_against_brute_force(spark):
+    """Sets just over the threshold, chains that the smallest member is not part of, and equal sets."""
+    rng = random.Random(8)
+    sets = {}
+    for g in range(60):
+        base = rng.sample(range(3000), 30)
+        for k in range(3):
+            sets[len(sets)] = set(base[k * rng.randrange(1, 6) : 24 + k]) | set(rng.sample(range(3000), rng.randrange(1, 7)))
+    for d in range(5):
+        sets[len(sets)] = set(sets[d])
+    rows = spark.createDataFrame([(d, i) for d, s in sets.items() for i in s], "d long, i long")
+    got = {r.d: r.cluster for r in fingerprints.clusters(rows, "d", fingerprints.similar_links(rows, "d", "i")).collect()}
+    want = _brute_clusters(sets)
+    assert got == want and 60 < len(set(want.values())) < 170
+    pairs = {(r.a, r.b) for r in fingerprints.lsh_pairs(fingerprints.minhash_signatures(rows, "d", "i"), "d", bands=128).collect()}
+    shared = {(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) > 0.5 * len(sets[x] | sets[y])}
+    assert shared <= pairs
+
+
+def test_similar_links_of_document_tokens(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    rows = docs.select(F.col("doc_id").alias("d"), F.explode(F.split(F.lower("text"), "[ \\n]+")).alias("i")).where("i <> ''")
+    sets = {}
+    for r in rows.distinct().collect():
+        sets.setdefault(r.d, set()).add(r.i)
+    got = {r.d: r.cluster for r in fingerprints.clusters(rows, "d", fingerprints.similar_links(rows, "d", "i")).collect()}
+    want = _brute_clusters(sets)
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_lz76():
     assert complexity.lz76_phrases(b"") == 0 and complexity.lz76_phrases(b"a") == 1
     rng = random.Random(2)

@@ -13,8 +13,9 @@ def lz76_phrases(data: bytes) -> int:
     """Phrases of the LZ76 parsing: each is the longest match within what came before it, plus one byte."""
     n, at, phrases = len(data), 0, 0
     while at < n:
-        size = 0
-        while at + size < n and data.find(data[at : at + size + 1], 0, at) >= 0:
+        size = seen = 0
+        # a longer match begins no earlier than the first one of its beginning
+        while at + size < n and (seen := data.find(data[at : at + size + 1], seen, at)) >= 0:
             size += 1
         at += size + 1
         phrases += 1

@@ -531,7 +531,7 @@ def minhash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def lz_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    joined = events.groupBy("event_type").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_set(F.col("user_id").cast("string"))), 1, 100), lambda x: x), "\x01").alias("t"))
+    joined = events.groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_set(F.col("user_id").cast("string"))), "\x01").alias("t"))
     return rounded(joined.select("event_type", complexity.lz_complexity("t").alias("lz_complexity")))
 
 

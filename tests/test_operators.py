@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pathlode.functions import complexity, recognizers, redaction
 from pathlode.operators import drift, essence, fingerprints, governance, relations, separation, temporal
-from pathlode.plans import query
+from pathlode.plans import catalogue, query
 from pathlode.sources.tables import table_nodes
 from pyspark.sql import functions as F
 
@@ -174,6 +174,29 @@ def test_lz76():
     assert complexity.lz76_complexity(b"a" * 1000) < complexity.lz76_complexity(noise)
 
 
+def test_lz76_against_plain_search():
+    rng = random.Random(4)
+    for _ in range(200):
+        data = bytes(rng.choice(b"abc") for _ in range(rng.randrange(60)))
+        at = phrases = 0
+        while at < len(data):
+            size = 0
+            while at + size < len(data) and data[at : at + size + 1] in data[:at]:
+                size += 1
+            at, phrases = at + size + 1, phrases + 1
+        assert complexity.lz76_phrases(data) == phrases
+
+
+def test_lz_complexity_takes_every_value(spark, tmp_path):
+    """The first 100 values in alphabetical order are alike, the others are not."""
+    rng = random.Random(6)
+    users = [10**12 + k for k in range(100)] + [rng.randrange(2 * 10**12, 9 * 10**12) for _ in range(150)]
+    spark.createDataFrame([(u, "view") for u in users], "user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.QUERIES["lz_complexity"](spark, str(tmp_path)).collect()
+    want = complexity.lz76_complexity("\x01".join(sorted(map(str, set(users)))).encode())
+    assert [(r.event_type, r.lz_complexity) for r in got] == [("view", round(want, 6))]
+
+
 def test_recognizers(spark):
     cases = {"CVE-2021-44228": "cve_id", "10.0.0.1": "ipv4", "::1": "ipv6", "fe80::1": "ipv6", "10.0.0.0/8": "cidr", "AA:bb:cc:dd:ee:ff": "mac_address", "T1059.001": "mitre_attack_id", "arn:aws:s3:::bucket": "aws_arn", "J45.909": "icd10", "snake_case_name": "snake_case_identifier", "#12": "pr_number_ref", "%41%42 x": "url_encoded", "Apache-2.0 x y z!": None}
     rows = spark.createDataFrame([(k,) for k in cases], "v string")

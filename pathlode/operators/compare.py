@@ -106,10 +106,10 @@ class Finding:
     missing: bool = False
 
 
-# A manifest is one that has all paths of the first list and any of the second.
+# A manifest is one that has all paths of the first list and any of the second; a tuple there has to be there as a whole.
 MANIFESTS = {
     "npm": ((r"^\$\.name$",), (r"^\$\.(version|dependencies|devDependencies|scripts|main)$",)),
-    "python": ((), (r"^\$\.(project|build-system|tool\.poetry)$",)),
+    "python": ((), (r"^\$\.(project|build-system|tool\.poetry)$", (r"^\$\.metadata$", r"^\$\.options$"))),
     "cargo": ((r"^\$\.package$",), (r"^\$\.package\.(name|version)$",)),
 }
 FINDINGS = (
@@ -124,6 +124,7 @@ FINDINGS = (
     Finding("python", "python_dependency_list", r"^\$\.project\.dependencies\[\*\]$", "info"),
     Finding("python", "python_build_backend", r"^\$\.build-system\.build-backend$", "info"),
     Finding("python", "python_in_tree_backend", r"^\$\.build-system\.backend-path", "concern"),
+    Finding("python", "python_cmdclass_override", r"^\$\.options\.cmdclass$", "concern"),
     Finding("cargo", "cargo_build_script", r"^\$\.package\.build$", "concern"),
     Finding("cargo", "cargo_dependency_count", r"^\$\.(dependencies|dev-dependencies|build-dependencies)\.[^.]+$", "info"),
     Finding("cargo", "cargo_missing_provenance", r"^\$\.package\.repository$", "notable", missing=True),
@@ -140,7 +141,10 @@ def structural_findings(nodes: DataFrame, document: str = "record_id") -> DataFr
             holds = holds & (F.count_if(F.col("path").rlike(pattern)) > 0)
         any_of = F.lit(False)
         for pattern in some:
-            any_of = any_of | (F.count_if(F.col("path").rlike(pattern)) > 0)
+            whole = F.lit(True)
+            for part in (pattern,) if isinstance(pattern, str) else pattern:
+                whole = whole & (F.count_if(F.col("path").rlike(part)) > 0)
+            any_of = any_of | whole
         tests.append((holds & any_of).alias(f"is_{manifest}"))
     counts = [F.count_if(F.col("path").rlike(f.pattern)).alias(f"n_{k}") for k, f in enumerate(FINDINGS)]
     wide = paths.groupBy(document).agg(*tests, *counts)

@@ -557,6 +557,16 @@ def recognized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select(recognizers.recognize(F.col("w"), ("security", "package")).alias("semantic_type")).where("semantic_type is not null").groupBy("semantic_type").agg(F.count("*").alias("n"))
 
 
+@register()
+def recognized_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words each recognizer of the seven groups matches, also where another one comes before it."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    named = [(g, n) for g, n, _, _ in recognizers.RECOGNIZERS] + [("encoding", n) for n in recognizers.DECODED]
+    found = F.array(*[F.when(recognizers.matches(F.col("w"), n), F.struct(F.lit(g).alias("domain"), F.lit(n).alias("semantic_type"))) for g, n in named])
+    matched = words.select("c", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f"))
+    return matched.groupBy("f.domain", "f.semantic_type").agg(F.sum("c").alias("n"))
+
+
 _FIRST_RULES = redaction.RULES[:3]
 
 

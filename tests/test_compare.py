@@ -23,3 +23,10 @@ def test_corpus_clusters(spark):
     shapes = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("b", "s2"), ("c", "s2"), ("d", "s3"), ("e", None)], "g string, shape string")
     got = {r.g: (r.cluster, r["size"]) for r in compare.corpus_clusters(shapes, "g").collect()}
     assert got == {"a": ("a", 3), "b": ("a", 3), "c": ("a", 3), "d": ("d", 1)}
+
+
+def test_cmdclass_override_is_found(spark):
+    paths = {1: ["$.metadata", "$.metadata.name", "$.options", "$.options.cmdclass", "$.options.cmdclass.install"], 2: ["$.options", "$.options.cmdclass"], 3: ["$.metadata", "$.options"]}
+    nodes = spark.createDataFrame([(d, p) for d, ps in paths.items() for p in ps], "record_id long, path string")
+    got = {(r.record_id, r.manifest, r.finding, r.severity, r["count"]) for r in compare.structural_findings(nodes).collect()}
+    assert got == {(1, "python", "python_cmdclass_override", "concern", 1)}

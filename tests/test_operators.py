@@ -1,3 +1,4 @@
+import base64
 import math
 import random
 from datetime import datetime
@@ -205,6 +206,38 @@ def test_recognizers(spark):
     assert recognizers.encoding_layers("aGVsbG8gd29ybGQhIQ==") == ["base64"] and recognizers.encoding_layers("%68%69") == ["url"]
 
 
+def test_recognizers_that_decode(spark):
+    inner = base64.b64encode(b"a text that is long enough").decode()
+    cases = {
+        base64.b64encode(b"hello hello hello hello!").decode(): ["base64"],
+        "eyJ" + "a" * 21: [],
+        base64.b64encode(b"aaaabbbbccccdddd").decode(): ["base64"],
+        "AAAA" * 5: [],
+        "0123456789abcdef" * 3: ["base64", "hex_encoded"],
+        "0123456789abcdef" * 4: ["base64"],
+        "0" * 34: [],
+        "%2541%2542": ["double_encoded"],
+        base64.b64encode(inner.encode()).decode(): ["base64", "double_encoded"],
+        "&amp; %41": ["mixed_encoding"],
+        "\\u0041 &lt;": ["mixed_encoding"],
+        "plain words": [],
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r.v: [n for n in recognizers.DECODED if r[n]] for r in rows.select("v", *[recognizers.matches(F.col("v"), n).alias(n) for n in recognizers.DECODED]).collect()}
+    assert {k: v for k, v in got.items() if "0123" not in k} == {k: v for k, v in cases.items() if "0123" not in k}
+    assert "hex_encoded" in got["0123456789abcdef" * 3] and "hex_encoded" not in got["0123456789abcdef" * 4]
+    named = {r.v: r.k for r in rows.select("v", recognizers.recognize(F.col("v"), ("encoding",)).alias("k")).collect()}
+    assert named[next(iter(cases))] == "base64" and named["plain words"] is None and named["%2541%2542"] == "url_encoded"
+
+
+def test_every_group_is_registered(spark, tmp_path):
+    text = "CVE-2021-44228 J45.909 v1.2.3 MERGED snake_case ^1.2 " + base64.b64encode(b"hello hello hello hello!").decode()
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.domain, r.semantic_type): r.n for r in catalogue.QUERIES["recognized_groups"](spark, str(tmp_path)).collect()}
+    want = {("security", "cve_id"), ("medical", "icd10"), ("devops", "semver"), ("github", "pr_state"), ("github", "github_login"), ("source", "snake_case_identifier"), ("package", "semver_range"), ("encoding", "base64")}
+    assert want <= set(got) and got["security", "cve_id"] == 1
+
+
 def test_redaction(spark):
     cases = {"ssn 123-45-6789 a@b.co": "ssn [SSN] a@b.co", "mail A.b@c-d.org": "mail [EMAIL]", "call (555) 123-4567": "call [PHONE]", "card 4111-1111-1111-1111 ok": "card [CREDIT_CARD] ok", "card 4111-1111-1111-1112": "card 4111-1111-1111-1112", "on 2001-02-03": "on 2001-02-03", None: None}
     rows = spark.createDataFrame([(k,) for k in cases], "v string")

@@ -18,14 +18,17 @@ columns are ignored by :func:`assign_shards`.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlode.llm.common import materialize
+from pathlode.llm.common import materialize, scratch_root
 
 SLOTS, SHARDS = 4096, 16
+#: Setting of the session: the folder of the stored versions of the map.
+MAPS_SETTING = "pathlode.slotMaps"
 
 
 @dataclass(frozen=True)
@@ -60,8 +63,9 @@ def first_map(sizes: list[int], shards: int = SHARDS) -> SlotMap:
 def rebalance(old: SlotMap, sizes: list[int], shards: int | None = None) -> SlotMap:
     """The next version for new sizes or a new number of shards.
 
-    Slots of shards that go are dealt anew. Then, while it brings the fullest and the emptiest shard
-    closer together, the largest slot that fits is moved from one to the other.
+    Slots of shards that go are dealt anew. Then slots are moved from the fullest to the emptiest shard: those
+    dealt anew while it brings the two closer together, others only while the two are further apart than
+    the largest slot.
     """
     shards = shards or old.shards
     shard_of = list(old.shard_of)
@@ -79,10 +83,11 @@ def rebalance(old: SlotMap, sizes: list[int], shards: int | None = None) -> Slot
         shard_of[slot] = to
         loads[to] += sizes[slot]
         members[to].append(slot)
+    fresh, largest = set(homeless), max(sizes)
     for _ in range(len(sizes)):
         hi, lo = max(range(shards), key=lambda s: (loads[s], -s)), min(range(shards), key=lambda s: (loads[s], s))
         gap = loads[hi] - loads[lo]
-        fitting = [k for k in members[hi] if 0 < sizes[k] < gap]
+        fitting = [k for k in members[hi] if 0 < sizes[k] < gap and (k in fresh or gap > largest)]
         if not fitting:
             break
         # the slot that comes closest to half the gap
@@ -132,6 +137,25 @@ def load_map(spark, path: str, version: int | None = None) -> SlotMap:
     return SlotMap(version, rows[0].shards, tuple(r.shard for r in rows))
 
 
+def stored_map(spark, sizes: list[int], shards: int = SHARDS, maps: str | None = None) -> SlotMap:
+    """The map for the sizes, stored at ``maps``: the newest version there, rebalanced (a new version only if a slot
+    moves), or else a first one.
+
+    Without ``maps`` and without the setting MAPS_SETTING a first map goes to a folder of its own in the shared folder.
+    """
+    maps = maps or spark.conf.get(MAPS_SETTING, None)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(maps) if maps else None
+    if target is not None and target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        old = load_map(spark, maps)
+        new = rebalance(old, sizes, shards)
+        if (new.shards, new.shard_of) == (old.shards, old.shard_of):
+            return old
+    else:
+        new = first_map(sizes, shards)
+    save_map(spark, new, maps or f"{scratch_root(spark)}/slot-maps-{uuid.uuid4().hex}")
+    return new
+
+
 def place_rows(rows: DataFrame, slot_map: SlotMap) -> DataFrame:
     """Add shard and slot, the row's place within its shard."""
     placed = rows.withColumn("shard", slot_map.column(F.col("vslot"))).withColumn("part", F.shiftright("rid", 33))
@@ -143,10 +167,10 @@ def place_rows(rows: DataFrame, slot_map: SlotMap) -> DataFrame:
     return joined.withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("long")).drop("p", "s", "start", "rank", "part")
 
 
-def assign_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+def assign_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, maps: str | None = None) -> DataFrame:
     """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version."""
     rows = measured_rows(docs, id_col, text)
-    slot_map = first_map(slot_sizes(rows), shards)
+    slot_map = stored_map(docs.sparkSession, slot_sizes(rows), shards, maps)
     return place_rows(rows, slot_map).select(
         "doc_id",
         "size",
@@ -160,10 +184,10 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     )
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, slot_map: SlotMap | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, slot_map: SlotMap | None = None, maps: str | None = None) -> DataFrame:
     """The documents with two more columns, ``shard`` and ``virtual_slot``; the texts are not shuffled."""
     slot = virtual_slot(F.col(f"`{id_col}`").cast("long"))
     if slot_map is None:
         size = (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + 1).cast("long")
-        slot_map = first_map(slot_sizes(docs.select(slot.alias("vslot"), size.alias("size"))), shards)
+        slot_map = stored_map(docs.sparkSession, slot_sizes(docs.select(slot.alias("vslot"), size.alias("size"))), shards, maps)
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "virtual_slot")], slot_map.column(slot).alias("shard"), slot.alias("virtual_slot"))

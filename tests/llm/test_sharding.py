@@ -55,3 +55,24 @@ def test_documents_get_the_same_shards(spark):
     assert set(out.columns) == {"doc_id", "text", "shard", "virtual_slot"}
     assert all(a[r.doc_id, r.virtual_slot] == r.shard for r in out.collect())
     assert sharding.assign_shards(docs.limit(0)).count() == 0
+
+
+def test_a_later_run_edits_the_stored_map(spark, tmp_path):
+    maps = str(tmp_path / "maps")
+    docs = table(spark)
+    sharding.assign_shards(docs, maps=maps).count()
+    first = sharding.load_map(spark, maps)
+    sharding.shard_documents(docs, maps=maps).count()
+    assert first.version == 1 and sharding.load_map(spark, maps) == first
+    more = docs.union(spark.createDataFrame([(9000 + k, "t" * 2000, "x") for k in range(40)], docs.schema))
+    got = {(r.virtual_slot, r.shard, r.map_version) for r in sharding.assign_shards(more, maps=maps).collect()}
+    second = sharding.load_map(spark, maps)
+    assert {v for _, _, v in got} == {second.version} and all(second.shard_of[k] == s for k, s, _ in got)
+    assert sum(a != b for a, b in zip(first.shard_of, second.shard_of, strict=True)) < 200
+
+
+def test_every_run_stores_its_map(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "scratch_root", lambda _: str(tmp_path))
+    for k, run in enumerate((sharding.assign_shards, sharding.shard_documents), 1):
+        run(table(spark)).count()
+        assert len(list(tmp_path.glob("slot-maps-*"))) == k

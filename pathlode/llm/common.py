@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space that separates words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: A key is hot if it has at least this share of the rows, so there are at most so many hot keys.
+HOT_KEYS = 4096
 
 _own_root: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -24,11 +27,14 @@ _written: list[tuple[SparkSession, str]] = []
 def scratch_root(spark: SparkSession) -> str:
     """The folder for tables that cut lineage: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, local runs) a temporary folder of this process is used.
+    Where the session names none, a local session (tests, one machine) gets a temporary folder of this
+    process; on a cluster no machine's own folder would do, so that is an error.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = tempfile.mkdtemp(prefix="pathlode-")
@@ -73,6 +79,33 @@ def _forget() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def spread_join(rows: DataFrame, lookup: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``lookup``, a table with one row for each of its keys, without a hot task.
+
+    ``count`` is a column of ``lookup``: the number of rows that have the key. Keys with at least one
+    HOT_KEYS-th of all these rows are broadcast; there are at most HOT_KEYS of them, whatever the input.
+    All others are shuffled, and none of them can fill a task. ``how`` is inner or left; null keys match
+    nothing. ``lookup`` is read twice, so it should be a written table.
+    """
+    spare = [c for c in lookup.columns if c not in on]
+    total = lookup.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col(count) * HOT_KEYS >= F.lit(total)
+    packed = lookup.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(on)], F.struct(*[F.col(f"`{c}`") for c in spare]).alias("__l"), is_hot.alias("__is_hot"))
+    keys = [f"__{i}" for i in range(len(on))]
+    left = rows.select(F.struct("*").alias("__r"), *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(on)])
+    hot = packed.where("__is_hot").select(*keys, F.col("__l").alias("__hot"))
+    one = left.join(F.broadcast(hot), [F.col(f"__k{i}") == F.col(f"__{i}") for i in range(len(on))], "left").drop(*keys)
+    # rows that are served already get a key that matches nothing and spreads them
+    served = F.col("__hot").isNotNull()
+    one = one.select("__r", "__hot", *[F.when(~served, F.col(f"__k{i}")).alias(f"__k{i}") for i in range(len(on))], F.when(served, F.xxhash64("__r")).otherwise(F.lit(0)).alias("__spread"))
+    rest = packed.where("not __is_hot").select(*keys, "__l", F.lit(0).cast("long").alias("__zero"))
+    both = one.join(rest, [F.col("__spread") == F.col("__zero"), *[F.col(f"__k{i}") == F.col(f"__{i}") for i in range(len(on))]], "left")
+    found = F.coalesce("__hot", "__l")
+    if how == "inner":
+        both = both.where(found.isNotNull())
+    return both.select("__r", found.alias("__f")).select("__r.*", *[F.col(f"__f.`{c}`").alias(c) for c in spare])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())

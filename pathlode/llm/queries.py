@@ -18,16 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
     added = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
-        F.col("id").alias("seq"),
+        F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         said.alias("text"),
     )
-    log = rows.unionByName(added).select("conv_id", "seq", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("msg"), "role", "text")
-    return chat.chat_digests(chat.format_chats(log))
+    return chat.chat_digests(chat.format_chats(chat.turns_as_events(rows.unionByName(added))))
 
 
 def url_entries(spark: SparkSession) -> DataFrame:

@@ -1,214 +1,259 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model for each language: lower-cased letters, every run of other characters one space. Order ORDER
-with absolute discounting; lower orders count the contexts in which a character follows (continuation
-counts), as Kneser and Ney have it, down to a uniform distribution over the alphabet. The n-grams of all
-languages are kept in one sorted array of hashes with a column of log probabilities for each language, so
-a lookup serves all languages at once.
+One model for each language: lower-cased letters with their combining marks, every run of other
+characters one space. Order ORDER with absolute discounting; lower orders count the contexts in which a
+character follows (continuation counts), as Kneser and Ney have it, down to a uniform distribution over
+all letters and marks of Unicode. An n-gram is a 64-bit hash of its code points, so no alphabet has to
+fit anywhere. A language's model is a few sorted arrays of such hashes, for each order those of its
+n-grams (with their interpolated probabilities) and of its contexts (with their back-off weights); they
+are built by one task for each language and found by binary search.
 
 A text's language is the one with the lowest cross-entropy by character. The score is calibrated: a
-logistic curve, fitted on labelled rows that the models have not seen, turns the margin between the best
-two languages into the chance of being right; a text whose cross-entropy lies beyond what is usual for its
-language, or whose score is low, is marked as rejected. The prediction is returned all the same.
-
-Fitting uses at most ``max_rows`` labelled rows for each language (a documented bound), chosen by a hash
-of the id; their whole texts are used. Predicting uses whole texts and looks at nothing but the text.
+logistic curve over the margin between the best two languages and over the cross-entropy's excess over
+what is usual for the best one, both times the root of the text's length, gives the chance that the
+answer is right. It is fitted on labelled rows that the models have not seen. Each of them is scored
+twice, with all languages and with its own one left out: the second answer is wrong and stands for texts
+in languages that were never labelled; all these together weigh UNLISTED times as much as the rows.
+A text whose score is below 0.5 is marked as rejected; the prediction is returned all the same.
+
+Fitting uses about ``max_rows`` labelled rows for each language at most (a documented bound), chosen by a
+hash of the id (of the text, where the id is null); their whole texts are used. So a model's size is
+bounded by ``max_rows``, and the size of all models grows with the number of n-grams that were seen, not
+with that times the number of languages. Predicting uses whole texts and looks at nothing but the text;
+a very long one is scored in pieces of PIECE characters that overlap by what the order needs.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; without labelled rows
 every text is ``und``; with one language only, that is the answer; equal cross-entropies go to the
-language that comes first by name; repeated rows are each returned; an empty table gives no rows; other
-columns are ignored.
+language that comes first by name; repeated rows are each returned; an empty table gives no rows; rows
+with a null id are used and returned like all others; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDER, DISCOUNT, MAX_ROWS, MAX_LANGUAGES = 4, 0.75, 2000, 4096
+from pathlode.llm.common import materialize
+from pathlode.llm.shingles import mix
+
+ORDER, DISCOUNT, MAX_ROWS = 4, 0.75, 2000
 UNKNOWN = "und"
-#: Largest alphabet (the most frequent letters of the labelled rows); other letters share one place.
-MAX_LETTERS = 510
-#: The sorted arrays are spread out to a plain table when it has at most so many numbers.
-PLAIN_LIMIT = 1 << 24
-_LETTER: np.ndarray | None = None
+#: Characters of a text that are scored at a time, and texts whose n-grams are looked up together.
+PIECE, TOGETHER = 1 << 20, 64
+#: Weight of the answers for a hidden language against the answers for all languages, in fitting the score.
+UNLISTED = 0.25
+_U = np.uint64
+_SPREAD = 0x9E3779B97F4A7C15
+_letter: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
-    """For each code point, whether it is a letter."""
-    global _LETTER
-    if _LETTER is None:
-        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
-    return _LETTER
+    """For each code point: 2 for a letter, 1 for a combining mark, else 0."""
+    global _letter
+    if _letter is None:
+        _letter = np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+    return _letter
+
+
+def alphabet_size() -> int:
+    """All letters and marks of Unicode, and the space."""
+    return int(np.count_nonzero(_letters())) + 1
 
 
 def normal_codes(text: str | None) -> np.ndarray:
-    """Code points of the lower-cased letters, with one 32 for each run of anything else around them.
+    """Code points of the lower-cased letters and their marks, with one 32 for each run of anything else.
 
-    Empty if there is no letter.
+    Starts and ends with 32. Empty if there is no letter.
     """
     if not text:
         return np.empty(0, dtype=np.uint32)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    letter = _letters()[codes]
-    if not letter.any():
+    kind = _letters()[codes]
+    if not (kind == 2).any():
         return np.empty(0, dtype=np.uint32)
-    codes = np.where(letter, codes, np.uint32(32))
-    keep = letter | np.r_[True, letter[:-1]]
-    codes = codes[keep]
+    letter = kind > 0
+    codes = np.where(letter, codes, np.uint32(32))[letter | np.r_[True, letter[:-1]]]
     if codes[0] != 32:
         codes = np.r_[np.uint32(32), codes]
     return codes if codes[-1] == 32 else np.r_[codes, np.uint32(32)]
 
 
+def keys_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of each n-gram; ``columns``: its code points, the first one first."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(columns[0]), dtype=_U) + _U(len(columns))
+        for c in columns:
+            total = total * _U(_SPREAD) + c.astype(_U) + _U(1)
+        return mix(total)
+
+
 @dataclass
-class Model:
-    """``grams``: sorted n-gram numbers; ``logs``: their log2 probabilities by language."""
+class Level:
+    """N-grams of one order: sorted hashes, and their probabilities; the same of their contexts' weights."""
 
-    languages: list[str]
-    alphabet: np.ndarray  # sorted code points; place 0 is the space, the last place is every other letter
-    order: int
     grams: np.ndarray
-    logs: np.ndarray
-    #: log2 probabilities of an n-gram that was never seen, by its longest seen context
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    slope: float = 1.0
-    offset: float = 0.0
-    usual: np.ndarray | None = None
-    _plain: np.ndarray | None = None
-    _place: np.ndarray | None = None
+    chances: np.ndarray
+    heads: np.ndarray
+    weights: np.ndarray
+
+    def to_bytes(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.grams, self.chances, self.heads, self.weights)]
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each wanted key, whether it is there) by binary search."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def fit_language(grams: np.ndarray, counts: np.ndarray, discount: float = DISCOUNT) -> list[Level]:
+    """The levels, order 1 first, from distinct n-grams (rows of code points) and their counts."""
+    order = grams.shape[1]
+    # by order: n-grams, and how often each counts: raw at the top, below in how many left contexts it stands
+    kinds = [(grams, counts.astype(np.float64))]
+    for n in range(order - 1, 0, -1):
+        above = kinds[0][0]
+        _, first, many = np.unique(keys_of(list(above[:, 1:].T)), return_index=True, return_counts=True)
+        kinds.insert(0, (above[first, 1:], many.astype(np.float64)))
+    levels: list[Level] = []
+    for own, c in kinds:
+        n = own.shape[1]
+        keys = keys_of(list(own.T))
+        head = keys_of(list(own[:, :-1].T)) if n > 1 else np.zeros(len(own), dtype=_U)
+        heads, back = np.unique(head, return_inverse=True)
+        total, follow = np.bincount(back, weights=c), np.bincount(back)
+        weights = discount * follow / total
+        if n == 1:
+            lower = np.full(len(own), 1 / alphabet_size())
+        else:
+            at, seen = _find(levels[-1].grams, keys_of(list(own[:, 1:].T)))
+            assert seen.all()
+            lower = levels[-1].chances[at]
+        chances = np.maximum(c - discount, 0) / total[back] + weights[back] * lower
+        place = np.argsort(keys)
+        levels.append(Level(keys[place], chances[place], heads, weights))
+    return levels
+
+
+def chances(levels: list[Level], columns: list[np.ndarray]) -> np.ndarray:
+    """Probability of each n-gram's last character after the others; ``columns`` as for :func:`keys_of`."""
+    order = len(levels)
+    out = np.full(len(columns[0]), 1 / alphabet_size())
+    open_ = np.arange(len(columns[0]))
+    # from the whole n-gram down: what is found has its interpolated chance, the rest backs off
+    factor = np.ones(len(out))
+    for n in range(order, 0, -1):
+        level = levels[n - 1]
+        part = [c[open_] for c in columns[order - n :]]
+        at, seen = _find(level.grams, keys_of(part))
+        out[open_[seen]] = factor[open_[seen]] * level.chances[at[seen]]
+        open_ = open_[~seen]
+        if not len(open_):
+            return out
+        if n > 1:
+            at, known = _find(level.heads, keys_of([c[~seen] for c in part[:-1]]))
+            factor[open_] *= np.where(known, level.weights[at], 1.0)
+        else:
+            factor[open_] *= level.weights[0]
+    out[open_] = factor[open_] / alphabet_size()
+    return out
+
+
+@dataclass
+class Model:
+    """The levels of each language; the curve of the score; each language's usual cross-entropy."""
+
+    levels: dict[str, list[Level]] = field(default_factory=dict)
+    order: int = ORDER
+    curve: tuple[float, float, float] = (0.0, 1.0, 0.0)
+    usual: dict[str, float] = field(default_factory=dict)
 
     @property
-    def base(self) -> int:
-        return len(self.alphabet) + 1
-
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        if self._place is None:
-            place = np.full(0x110000, len(self.alphabet), dtype=np.int64)
-            place[self.alphabet] = np.arange(len(self.alphabet))
-            self._place = place
-        return self._place[codes]
-
-    def gram_numbers(self, places: np.ndarray, n: int) -> np.ndarray:
-        """Number of the n-gram that ends at each character but the first; contexts start with spaces."""
-        padded = np.r_[np.zeros(n - 2, dtype=np.int64), places] if n > 1 else places[1:]
-        total = np.zeros(len(places) - 1, dtype=np.int64)
-        for k in range(n):
-            total = total * self.base + padded[k : k + len(places) - 1]
-        return total
-
-    def __getstate__(self) -> dict:
-        """Tables that each process makes for itself are not sent."""
-        return self.__dict__ | {"_plain": None, "_place": None}
-
-    def look_up(self, numbers: np.ndarray, spread: bool = True) -> np.ndarray:
-        """Log probabilities (n-grams x languages); ``spread``: by the plain table where it is small enough."""
-        if spread and self.base**self.order * len(self.languages) <= PLAIN_LIMIT:
-            if self._plain is None:
-                self._plain = np.empty((self.base**self.order, len(self.languages)), dtype=np.float32)
-                for at in range(0, len(self._plain), 1 << 17):
-                    self._plain[at : at + (1 << 17)] = self._search(np.arange(at, min(at + (1 << 17), len(self._plain))))
-            return self._plain[numbers]
-        distinct, back = np.unique(numbers, return_inverse=True)
-        return self._search(distinct)[back]
-
-    def _search(self, numbers: np.ndarray) -> np.ndarray:
-        """Binary search in the sorted arrays, from the whole n-gram down to shorter ones."""
-        out = np.zeros((len(numbers), len(self.languages)))
-        open_ = np.arange(len(numbers))
-        at = np.searchsorted(self.grams, numbers)
-        at[at == len(self.grams)] = 0
-        hit = self.grams[at] == numbers
-        out[hit] = self.logs[at[hit]]
-        open_ = open_[~hit]
-        if len(open_):
-            out[open_] = self._unseen(numbers[open_])
-        return out
-
-    def _unseen(self, numbers: np.ndarray) -> np.ndarray:
-        """Back-off: product of the contexts' weights and the probability in the longest seen order."""
-        p = np.zeros((len(numbers), len(self.languages)))
-        for level, (keys, table) in enumerate(self.contexts):
-            # level k: n-grams of order k + 1; table holds (discounted probability, weight of the context) by language
-            n = level + 1
-            short = numbers % self.base**n
-            context = short // self.base
-            at = np.searchsorted(keys[0], short)
-            at[at == len(keys[0])] = 0
-            seen = (keys[0][at] == short)[:, None] if len(keys[0]) else np.zeros((len(numbers), 1), dtype=bool)
-            direct = np.where(seen, table[0][at] if len(keys[0]) else 0.0, 0.0)
-            if n == 1:
-                p = direct + table[1][0] / self.base
-                continue
-            at = np.searchsorted(keys[1], context)
-            at[at == len(keys[1])] = 0
-            known = (keys[1][at] == context)[:, None]
-            p = direct + np.where(known, table[1][at], 1.0) * p
-        return np.log2(p)
+    def languages(self) -> list[str]:
+        return sorted(self.levels)
 
-    def entropies(self, texts: list[str | None], spread: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(bits by character, texts x languages; number of characters scored, 0 without a letter)."""
-        codes = [normal_codes(t) for t in texts]
-        lengths = np.array([max(0, len(c) - 1) for c in codes], dtype=np.int64)
-        out = np.full((len(texts), len(self.languages)), np.inf)
-        some = np.flatnonzero(lengths)
-        if not len(some) or not self.languages:
-            return out, lengths
-        places = self.places(np.concatenate([codes[i] for i in some]))
-        ends = np.cumsum([len(codes[i]) for i in some])
-        numbers = np.concatenate([self.gram_numbers(p, self.order) for p in np.split(places, ends[:-1])])
-        starts = np.r_[0, np.cumsum(lengths[some])[:-1]]
-        logs = self.look_up(numbers, spread)
-        out[some] = -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / lengths[some][:, None]
-        return out, lengths
+        bits = np.zeros((len(texts), len(self.levels)))
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        held: list[tuple[int, np.ndarray]] = []
+        for i, text in enumerate(texts):
+            codes = normal_codes(text)
+            if not len(codes):
+                continue
+            lengths[i] = len(codes) - 1
+            padded = np.r_[np.full(self.order - 2, 32, dtype=np.uint32), codes] if self.order > 1 else codes[1:]
+            for at in range(0, lengths[i], PIECE):
+                held.append((i, padded[at : at + PIECE + self.order - 1]))
+                if sum(len(p) for _, p in held) >= PIECE:
+                    self._add(held, bits)
+                    held = []
+        if held:
+            self._add(held, bits)
+        bits[lengths == 0] = np.inf
+        return bits / np.maximum(lengths, 1)[:, None], lengths
+
+    def _add(self, held: list[tuple[int, np.ndarray]], bits: np.ndarray) -> None:
+        if not self.levels:
+            return
+        long = np.array([len(p) - self.order + 1 for _, p in held])
+        columns = [np.concatenate([p[k : len(p) - self.order + 1 + k] for _, p in held]) for k in range(self.order)]
+        _, first, back = np.unique(keys_of(columns), return_index=True, return_inverse=True)
+        distinct = [c[first] for c in columns]
+        starts = np.r_[0, np.cumsum(long)[:-1]]
+        owners = [i for i, _ in held]
+        for j, lang in enumerate(self.languages):
+            logs = -np.log2(chances(self.levels[lang], distinct))
+            np.add.at(bits[:, j], owners, np.add.reduceat(logs[back], starts))
+
+    def features(self, row: np.ndarray, n: int, hidden: int | None = None) -> tuple[int, float, float]:
+        """(best language, margin to the next, excess over the usual) of a text's cross-entropies; ``hidden`` is left out."""
+        if hidden is not None:
+            row = row.copy()
+            row[hidden] = np.inf
+        best, root = int(np.argmin(row)), math.sqrt(n)
+        rest = np.delete(row, best)
+        margin = float(rest[np.isfinite(rest)].min() - row[best]) if np.isfinite(rest).any() else 0.0
+        return best, margin * root, (float(row[best]) - self.usual.get(self.languages[best], float(row[best]))) * root
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         bits, lengths = self.entropies(texts)
         names, scores, rejected = [], [], []
         for row, n in zip(bits, lengths, strict=True):
-            if not n or not self.languages:
+            if not n or not self.levels:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 rejected.append(True)
                 continue
-            best = int(np.argmin(row))
-            margin = (float(np.partition(row, 1)[1] - row[best]) if len(row) > 1 else 1.0) * math.sqrt(n)
-            score = 1 / (1 + math.exp(-min(60.0, self.slope * margin + self.offset)))
+            best, margin, excess = self.features(row, int(n))
+            at = self.curve[0] + self.curve[1] * margin + self.curve[2] * excess
             names.append(self.languages[best])
-            scores.append(score)
-            rejected.append(score < 0.5 or (self.usual is not None and row[best] > self.usual[best] + 4.0 / math.sqrt(n)))
+            scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, at)))))
+            rejected.append(scores[-1] < 0.5)
         return names, scores, rejected
 
 
-def gram_counts(texts: Iterator[str | None], order: int = ORDER) -> dict[tuple[int, ...], int]:
-    """Counts of character n-grams of whole texts."""
-    coded = [c for c in map(normal_codes, texts) if len(c) > 1]
-    if not coded:
-        return {}
-    letters, local = np.unique(np.concatenate(coded), return_inverse=True)
-    base, space = len(letters), int(np.searchsorted(letters, 32))
-    numbers = []
-    for own in np.split(local.astype(np.int64), np.cumsum([len(c) for c in coded])[:-1]):
-        padded = np.r_[np.full(order - 2, space, dtype=np.int64), own]
-        total = np.zeros(len(own) - 1, dtype=np.int64)
-        for k in range(order):
-            total = total * base + padded[k : k + len(own) - 1]
-        numbers.append(total)
-    grams, counts = np.unique(np.concatenate(numbers), return_counts=True)
-    out = {}
-    for gram, n in zip(grams.tolist(), counts.tolist(), strict=True):
-        places = []
-        for _ in range(order):
-            gram, last = divmod(gram, base)
-            places.append(int(letters[last]))
-        out[tuple(reversed(places))] = n
-    return out
+def gram_counts(texts: Iterator[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct character n-grams of whole texts (rows of code points), and their counts."""
+    grams, counts = np.empty((0, order), dtype=np.uint32), np.empty(0, dtype=np.int64)
+    for codes in map(normal_codes, texts):
+        if not len(codes):
+            continue
+        padded = np.r_[np.full(order - 2, 32, dtype=np.uint32), codes] if order > 1 else codes[1:]
+        own = np.stack([padded[k : len(padded) - order + 1 + k] for k in range(order)], axis=1)
+        _, first, many = np.unique(keys_of(list(own.T)), return_index=True, return_counts=True)
+        grams, counts = np.concatenate([grams, own[first]]), np.concatenate([counts, many])
+    _, first, back = np.unique(keys_of(list(grams.T)), return_index=True, return_inverse=True)
+    return grams[first], np.bincount(back, weights=counts, minlength=len(first)).astype(np.int64)
 
 
 def _count_batches(order: int):
@@ -218,122 +263,114 @@ def _count_batches(order: int):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by_language.setdefault(lang, []).append(text)
             for lang, texts in by_language.items():
-                counts = gram_counts(iter(texts), order)
-                grams = ["".join(map(chr, g)) for g in counts]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
+                grams, counts = gram_counts(iter(texts), order)
+                packed = [g.tobytes() for g in grams]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(packed), pa.string()), pa.array(packed, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
     return run
 
 
-def build(counts: dict[str, dict[str, int]], order: int = ORDER, discount: float = DISCOUNT) -> Model:
-    """The models of all languages from their counts of n-grams (strings of ``order`` characters)."""
-    languages = sorted(k for k, v in counts.items() if v)
-    letters: dict[str, int] = {}
-    for lang in languages:
-        for gram, n in counts[lang].items():
-            letters[gram[-1]] = letters.get(gram[-1], 0) + n
-    chosen = sorted(sorted((c for c in letters if c != " "), key=lambda c: (-letters[c], c))[:MAX_LETTERS])
-    alphabet = np.array([32, *map(ord, chosen)], dtype=np.int64)
-    place = {chr(c): i for i, c in enumerate(alphabet.tolist())}
-    base = len(alphabet) + 1
-    model = Model(languages, alphabet, order, np.empty(0, dtype=np.int64), np.empty((0, len(languages))), [])
-    if not languages:
-        return model
-    # by language and order: counts of whole n-grams, continuation counts below
-    levels: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    for lang in languages:
-        numbers = np.array([_number(g, place, base) for g in counts[lang]], dtype=np.int64)
-        weight = np.array(list(counts[lang].values()), dtype=np.float64)
-        keys, back = np.unique(numbers, return_inverse=True)
-        top = (keys, np.bincount(back, weights=weight))
-        own = [top]
-        for n in range(order - 1, 0, -1):
-            # in how many places of one more character before it does the n-gram occur
-            short, how_many = np.unique(own[0][0] % base**n, return_counts=True)
-            own.insert(0, (short, how_many.astype(np.float64)))
-        levels.append(own)
-    contexts = []
-    for n in range(1, order + 1):
-        grams = np.unique(np.concatenate([own[n - 1][0] for own in levels]))
-        heads = np.unique(grams // base)
-        direct, back_off = np.zeros((len(grams), len(languages))), np.ones((len(heads), len(languages)))
-        for j, own in enumerate(levels):
-            keys, c = own[n - 1]
-            head = keys // base
-            at = np.searchsorted(heads, head)
-            total = np.bincount(at, weights=c, minlength=len(heads))
-            kinds = np.bincount(at, minlength=len(heads))
-            direct[np.searchsorted(grams, keys), j] = np.maximum(c - discount, 0) / total[at]
-            seen = total > 0
-            back_off[seen, j] = discount * kinds[seen] / total[seen]
-        contexts.append(((grams, heads), (direct, back_off)))
-    model.contexts = contexts
-    model.grams = contexts[-1][0][0]
-    model.logs = model._unseen(model.grams)
-    return model
+def _fit_group(order: int, discount: float):
+    def run(table: pa.Table) -> pa.Table:
+        grams = np.frombuffer(b"".join(table.column("gram").to_pylist()), dtype=np.uint32).reshape(-1, order)
+        levels = fit_language(grams, table.column("n").to_numpy(), discount)
+        lang = table.column("lang")[0].as_py()
+        rows = [(lang, n, *level.to_bytes()) for n, level in enumerate(levels, 1)]
+        names = ["lang", "n", "grams", "chances", "heads", "weights"]
+        return pa.table({c: pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int32() if i == 1 else pa.binary()) for i, c in enumerate(names)})
 
+    return run
 
-def _number(gram: str, place: dict[str, int], base: int) -> int:
-    total = 0
-    for c in gram:
-        total = total * base + place.get(c, base - 1)
-    return total
 
+def _calibration_rows(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        names = model.languages
+        for batch in batches:
+            rows = []
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                bits, lengths = model.entropies(part.column("text").to_pylist())
+                for lang, row, n in zip(part.column("lang").to_pylist(), bits, lengths, strict=True):
+                    if not n or lang not in model.levels:
+                        continue
+                    own = names.index(lang)
+                    best, margin, _ = model.features(row, int(n))
+                    hidden, hidden_margin, _ = model.features(row, int(n), own) if len(names) > 1 else (None, 0.0, 0.0)
+                    rows.append((lang, int(n), names[best], float(row[best]), margin, None if hidden is None else names[hidden], None if hidden is None else float(row[hidden]), hidden_margin))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "n", "best", "bits", "margin", "hidden", "hidden_bits", "hidden_margin"])
 
-def calibrate(model: Model, labelled: list[tuple[str, str | None]]) -> None:
-    """Fit the score's logistic curve and each language's usual cross-entropy on rows not used for counts.
+    return run
 
-    The curve goes through chance at a margin of 0 and is made as steep as the rows bear out, within
-    bounds; Newton's method on one parameter, with one wrong answer assumed so that it stays finite.
+
+_CALIBRATION = "lang string, n long, best string, bits double, margin double, hidden string, hidden_bits double, hidden_margin double"
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, ...]:
+    """Weighted logistic regression by Newton's method; a ridge on standardised features keeps it finite."""
+    middle, scale = np.average(x, axis=0, weights=weight), x.std(axis=0) + 1e-9
+    z = np.c_[np.ones(len(x)), (x - middle) / scale]
+    ridge = np.diag([1e-6] + [1e-2 * weight.sum() / 100] * x.shape[1])
+    b = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -60, 60)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ b)
+        step *= min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
+        b += step
+        if np.abs(step).max() < 1e-9:
+            break
+    slopes = b[1:] / scale
+    return (float(b[0] - slopes @ middle), *map(float, slopes))
+
+
+def calibrate(model: Model, rows: list) -> None:
+    """Each language's usual cross-entropy, and the curve of the score, from rows that the models have not seen.
+
+    ``rows``: as many as a tenth of the fitted sample at most, numbers and names only.
     """
-    rows = [(lang, text) for lang, text in labelled if lang in model.languages]
-    if not rows or not model.languages:
+    right = [r for r in rows if r.best == r.lang]
+    for lang in model.languages:
+        own = [r.bits for r in right if r.lang == lang]
+        if own:
+            model.usual[lang] = float(np.median(own))
+    if not rows:
         return
-    # a few rows at a time and without the plain table: this runs in the driver
-    parts = [model.entropies([t for _, t in rows[at : at + 32]], spread=False) for at in range(0, len(rows), 32)]
-    bits, lengths = np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
-    margins, right = [], []
-    usual: list[list[float]] = [[] for _ in model.languages]
-    for (lang, _), row, n in zip(rows, bits, lengths, strict=True):
-        if not n:
-            continue
-        best = int(np.argmin(row))
-        margins.append((float(np.partition(row, 1)[1] - row[best]) if len(row) > 1 else 1.0) * math.sqrt(n))
-        right.append(1.0 if model.languages[best] == lang else 0.0)
-        if right[-1]:
-            usual[best].append(float(row[best]))
-    if margins:
-        x, y = np.r_[margins, np.median(margins)], np.r_[right, 0.0]
-        slope = 1.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(slope * x, -60, 60)))
-            gradient, bend = float(((y - p) * x).sum()), float((p * (1 - p) * x * x).sum()) + 1e-9
-            slope = min(20.0, max(0.05, slope + max(-1.0, min(1.0, gradient / bend))))
-        model.slope, model.offset = slope, 0.0
-    everything = [b for u in usual for b in u]
-    fall_back = float(np.quantile(everything, 0.99)) if everything else math.inf
-    model.usual = np.array([float(np.quantile(u, 0.99)) if len(u) >= 20 else fall_back for u in usual])
+    excess = lambda bits, lang, n: (bits - model.usual.get(lang, bits)) * math.sqrt(n)
+    x = [(r.margin, excess(r.bits, r.best, r.n)) for r in rows]
+    y = [float(r.best == r.lang) for r in rows]
+    hidden = [r for r in rows if r.hidden is not None]
+    x += [(r.hidden_margin, excess(r.hidden_bits, r.hidden, r.n)) for r in hidden]
+    weight = np.r_[np.ones(len(rows)), np.full(len(hidden), UNLISTED * len(rows) / max(1, len(hidden)))]
+    # one wrong answer in the middle keeps the curve finite where all answers are right
+    x.append(tuple(np.median(np.array(x), axis=0)))
+    model.curve = fit_curve(np.array(x), np.r_[y, np.zeros(len(hidden) + 1)], np.r_[weight, 1.0])
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, order: int = ORDER) -> Model:
     """Fit on rows with a language. At most about ``max_rows`` rows of each language are used: those whose
     hash of the id lies below the share that gives so many. A tenth of them only calibrates."""
-    rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang is not null")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("c")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang is not null")
+    rows = rows.withColumn("id", F.coalesce("id", F.concat(F.lit("="), "text"), F.lit("null")))
+    totals = rows.groupBy("lang").agg(F.count("*").alias("c")).collect()  # one row for each language
     shares = {r.lang: min(1.0, max_rows / r.c) for r in totals}
     share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")] if shares else F.lit(0.0)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < share)
-    tenth = F.pmod(F.xxhash64(F.lit("tenth"), F.col("id").cast("string")), F.lit(10)) == 0
-    counted = sample.where(~tenth).select("lang", "text").mapInArrow(_count_batches(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    for r in counted.orderBy("lang", "gram").toLocalIterator():
-        counts.setdefault(r.lang, {})[r.gram] = r.n
-    model = build(counts, order)
-    held = sample.where(tenth).select("lang", "text").toLocalIterator()
-    calibrate(model, [(r.lang, r.text) for r in held])
+    tenth = F.pmod(F.xxhash64(F.lit("tenth"), F.col("id")), F.lit(10)) == 0
+    counted = sample.where(~tenth).select("lang", "text").mapInArrow(_count_batches(order), "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    fitted = counted.groupBy("lang").applyInArrow(_fit_group(order, DISCOUNT), "lang string, n int, grams binary, chances binary, heads binary, weights binary")
+    model = Model(order=order)
+    for r in materialize(fitted, "language-models").orderBy("lang", "n").toLocalIterator():
+        arrays = [np.frombuffer(r[c], dtype=_U if c in ("grams", "heads") else np.float64) for c in ("grams", "chances", "heads", "weights")]
+        model.levels.setdefault(r.lang, []).append(Level(*arrays))
+    if model.levels:
+        shared = spark.sparkContext.broadcast(model)
+        told = sample.where(tenth).select("lang", "text").mapInArrow(_calibration_rows(shared), _CALIBRATION)
+        calibrate(model, sorted(told.collect()))
+        shared.unpersist()
     return model
 
 
@@ -342,8 +379,8 @@ def _predictor(shared):
         model = shared.value
         for batch in batches:
             names, scores, rejected = [], [], []
-            for at in range(0, batch.num_rows, 64):  # bounds the memory that long texts take
-                n, s, r = model.predict(batch.column("text").slice(at, 64).to_pylist())
+            for at in range(0, batch.num_rows, TOGETHER):
+                n, s, r = model.predict(batch.column("text").slice(at, TOGETHER).to_pylist())
                 names += n
                 scores += s
                 rejected += r

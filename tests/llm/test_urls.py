@@ -1,3 +1,5 @@
+import random
+
 from pathlode.llm import queries, urls
 
 
@@ -41,3 +43,26 @@ def test_empty_tables(spark):
     assert urls.filter_urls(none, entries).count() == 0
     one = spark.createDataFrame([(1, "http://net/")], "page_id long, url string")
     assert urls.filter_urls(one, entries.limit(0)).first().verdict == "allow"
+
+
+def test_long_lists_deep_paths_ties_and_clashing_names(spark):
+    rng = random.Random(8)
+    hosts = [".".join(rng.choice(["a", "b", "cc"]) for _ in range(rng.randrange(1, 5))) + rng.choice([".com", ".org"]) for _ in range(60)]
+    path = lambda: "".join("/" + rng.choice(["x", "y", "xy", ""]) for _ in range(rng.randrange(0, 9)))
+    entries = [(rng.choice(hosts), path(), rng.choice(["block", "allow"]), "listed", rng.randrange(2)) for _ in range(4000)]
+    entries = list({e[:2]: e for e in entries}.values()) + [("", "/", "block", "listed", 9), ("tie.com", "/", "allow", "listed", 1), ("tie.com", "/", "block", "listed", 1)]
+    urls_ = [f"http://{rng.choice(hosts)}{path()}{rng.choice(['', '?q', '#f'])}" for _ in range(800)] + ["http://www.tie.com/", "http:///x", None, "http://" + "a." * 2000 + "com/" + "x/" * 20_000]
+    rows = [(i, u, *["clash"] * 7) for i, u in enumerate(urls_)]
+    df = spark.createDataFrame(rows, "page_id long, url string, best string, k1 string, n string, h string, row string, __r string, `a.b` string")
+    got = urls.filter_urls(df, spark.createDataFrame(entries, "host string, path string, verdict string, kind string, rank int")).collect()
+    assert len(got) == len(rows)
+    fair = [e for e in entries if e[0] and e[:3] != ("tie.com", "/", "allow")]
+    for r in got:
+        want = brute(urls_[r.page_id], fair)
+        assert (r.host, r.path, r.verdict) == (*want[:2], want[3]) and (r.entry or "") == (want[2] or "") and r.best == "clash"
+
+
+def test_very_common_urls(spark):
+    pages = spark.range(30_000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN 'http://x.net/hot' WHEN id % 3 = 1 THEN null ELSE concat('http://y.example.net/en/', id) END AS url")
+    got = urls.filter_urls(pages, queries.url_entries(spark)).groupBy("verdict", "entry").count().collect()
+    assert {(r.verdict, r.entry, r["count"]) for r in got} == {("block", "net/", 10_000), ("allow", None, 10_000), ("allow", "example.net/en/", 10_000)}

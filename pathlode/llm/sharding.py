@@ -10,9 +10,15 @@ The law that holds is ``bytes``: the sizes of shards differ by at most the large
 A record's place within its shard is counted from 0 without gaps. It is the count of the shard's records
 in earlier parts of the table plus its rank within its own part, so that no task ever ranks a whole shard.
 
-Defined cases: null text has size 1 and the CRC of no bytes; a null id is hashed like any other value;
-repeated rows are each placed; rows of one id share a virtual slot; an empty table gives no rows; other
-columns are ignored by :func:`assign_shards`.
+A record's slot follows from its id alone, so copies of one text under different ids may stand in different
+shards; only so can sizes stay near equal when one text makes up a third of the table. A record without
+an id is hashed by its text.
+
+Defined cases: null text has size 1 and the CRC of no bytes; repeated rows are each placed; rows of one id
+share a virtual slot; sizes of shards may tie, then the shard of the smaller number gets the next slot;
+an empty table gives no rows and an empty map; texts are only measured, so their length does not matter;
+other columns are ignored by :func:`assign_shards` and kept by :func:`shard_documents`, but for those
+named like its own.
 """
 
 from __future__ import annotations
@@ -100,19 +106,21 @@ def rebalance(old: SlotMap, sizes: list[int], shards: int | None = None) -> Slot
     return SlotMap(old.version + 1, shards, tuple(shard_of))
 
 
-def virtual_slot(id_col: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(slots)).cast("int")
+def virtual_slot(id_col: Column, text: Column, slots: int = SLOTS) -> Column:
+    own = F.when(id_col.isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(F.xxhash64(id_col))
+    return F.pmod(own, F.lit(slots)).cast("int")
 
 
 def measured_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """Written table without texts: doc_id, size, text_crc32, vslot, and rid (part and place in the input)."""
-    body = F.col(text).cast("string")
+    body = F.col(f"`{text}`").cast("string")
     slim = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.encode(body, "UTF-8"), F.lit(b""))).cast("long").alias("text_crc32"),
+        virtual_slot(F.col(f"`{id_col}`").cast("long"), body, slots).alias("vslot"),
     )
-    return materialize(slim.withColumn("vslot", virtual_slot(F.col("doc_id"), slots)).withColumn("rid", F.monotonically_increasing_id()), "slots")
+    return materialize(slim.withColumn("rid", F.monotonically_increasing_id()), "slots")
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -186,7 +194,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, slot_map: SlotMap | None = None, maps: str | None = None) -> DataFrame:
     """The documents with two more columns, ``shard`` and ``virtual_slot``; the texts are not shuffled."""
-    slot = virtual_slot(F.col(f"`{id_col}`").cast("long"))
+    slot = virtual_slot(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`").cast("string"))
     if slot_map is None:
         size = (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + 1).cast("long")
         slot_map = stored_map(docs.sparkSession, slot_sizes(docs.select(slot.alias("vslot"), size.alias("size"))), shards, maps)

@@ -1,6 +1,8 @@
+import heapq
 import zlib
 from collections import defaultdict
 
+import xxhash
 from pathlode.llm import sharding
 
 
@@ -76,3 +78,38 @@ def test_every_run_stores_its_map(spark, tmp_path, monkeypatch):
     for k, run in enumerate((sharding.assign_shards, sharding.shard_documents), 1):
         run(table(spark)).count()
         assert len(list(tmp_path.glob("slot-maps-*"))) == k
+
+
+def test_against_brute_force(spark):
+    """Sizes, digests, slots, the map and the shards, all computed anew in plain Python."""
+    rows = [(i, "é☃ text " * (i * 13 % 90)) for i in range(2500)] + [(None, None), (None, "no id"), (7, ""), (8, "x" * 300_000), (9, "x" * 300_000)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+    def slot(i, t):
+        if i is not None:
+            h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+        else:
+            h = xxhash.xxh64_intdigest(b"no id", 42)
+            h = h if t is None else xxhash.xxh64_intdigest(t.encode(), h)
+        return (h - (1 << 64) if h >> 63 else h) % sharding.SLOTS
+
+    sizes = [0] * sharding.SLOTS
+    for i, t in rows:
+        sizes[slot(i, t)] += len((t or "").encode()) + 1
+    heap, shard_of = [(0, 0, s) for s in range(16)], {}
+    for k in sorted(range(sharding.SLOTS), key=lambda k: (-sizes[k], k)):
+        load, held, s = heapq.heappop(heap)
+        shard_of[k] = s
+        heapq.heappush(heap, (load + sizes[k], held + 1, s))
+    want = sorted((-1 if i is None else i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", slot(i, t), shard_of[slot(i, t)]) for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r["size"], r.text_crc32, r.law, r.virtual_slot, r.shard) for r in got) == want
+
+
+def test_shrinking_moves_only_what_it_has_to():
+    for seed in range(5):
+        sizes = [(k * 7919 + seed * 31) % 1000 + 1 for k in range(4096)]
+        first = sharding.rebalance(sharding.first_map(sizes, 16), sizes, 17)
+        less = sharding.rebalance(first, sizes, 15)
+        moved = [k for k in range(4096) if less.shard_of[k] != first.shard_of[k] and first.shard_of[k] < 15]
+        assert moved == [] and max(less.loads(sizes)) - min(less.loads(sizes)) <= max(sizes)
+        assert sharding.rebalance(less, sizes, 15).shard_of == less.shard_of

@@ -3,7 +3,8 @@
 A text is split at ``\\n``. ``remove_repeated_passages``, the query, compares three kinds of passages:
 
 * content-defined chunks: a rolling hash over the hashes of WINDOW lines ends a chunk wherever it is 0
-  modulo MODULUS, so boundaries depend on the lines near them only; of at least two lines;
+  modulo MODULUS and was not 0 one line earlier, so boundaries depend on the lines near them only; none is
+  set before the last line, so every chunk has LEAST_LINES lines or is the whole text;
 * pairs of lines with words that follow each other, with the blank lines between them: a shared passage
   of two lines or more is covered by its pairs, whatever stands around it;
 * single lines of at least LONG_LINE characters.
@@ -13,15 +14,14 @@ Each that stood before in any document is removed, lines of several are removed
 overlaps it. So each removed line still stands somewhere. Passages that might be repeated are found by
 64-bit hashes and confirmed by SHA-256 of their bytes.
 
-``remove_repeated_chunks`` takes the chunks only, counted by their bytes: two chunks of equal hashes and
-different bytes are both kept. A shared passage of a few lines is seldom a chunk of its own.
-
-Built-in functions only. Equal passages are counted before they are shuffled, so one in a third of all
-documents is as cheap as any other.
+Built-in functions only. Passages are counted by hash first, and very frequent ones are joined apart
+(:func:`pathlode.llm.common.spread_join`), so one that a third of all documents hold fills no task.
 
 Defined cases: null text has no lines, is never changed and comes back null; an empty text is one empty
-line; passages without a word (blank lines) are never removed; repeated rows lose what their first has; an
-empty table gives no rows; other columns are ignored.
+line; passages without a word (blank lines) are never removed; repeated rows lose what their first has;
+of rows with the same id the earlier in the table is the first, rows without id come last; lines and
+texts of any length are read whole, a document's own passages in one task; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlode.llm.common import SPACES, let, materialize
+from pathlode.llm.common import SPACES, let, materialize, spread_join
 
 WINDOW, MODULUS, LEAST_LINES = 2, 4, 2
 #: A line of so many characters is a passage by itself.
@@ -39,11 +39,15 @@ CHUNK, PAIR, LINE = 0, 1, 2
 
 def _starts(h: Column) -> Column:
     """Where the content-defined chunks of a text begin, from the hashes of its lines."""
-    ends = F.filter(
-        F.transform(h, lambda x, i: F.when((i >= WINDOW - 1) & (F.pmod(F.xxhash64(*[F.get(h, i - k) for k in range(WINDOW)]), F.lit(MODULUS)) == 0), i + 1)),
-        lambda e: e.isNotNull() & (e < F.size(h)),
-    )
-    return F.concat(F.array(F.lit(0)), ends)
+
+    def of_marks(marks: Column) -> Column:
+        ends = F.filter(
+            F.transform(marks, lambda m, i: F.when(m & (i >= WINDOW - 1) & ((i == WINDOW - 1) | ~F.get(marks, i - 1)) & (i < F.size(marks) - LEAST_LINES), i + 1)),
+            lambda e: e.isNotNull(),
+        )
+        return F.concat(F.array(F.lit(0)), ends)
+
+    return let(F.transform(h, lambda x, i: F.coalesce(F.pmod(F.xxhash64(*[F.get(h, i - k) for k in range(WINDOW)]), F.lit(MODULUS)) == 0, F.lit(False))), of_marks)
 
 
 def chunks(text: Column) -> Column:
@@ -67,40 +71,6 @@ def chunks(text: Column) -> Column:
     return F.when(text.isNotNull(), let(F.split(text, "\n"), cut)).cast("array<struct<no:int,n_lines:int,body:string>>")
 
 
-def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_lines, n_removed_lines, n_removed_chunks, text (what is left)."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # the condition always holds; it makes the exchanges of both joins below alike, so that one serves both
-    rows = materialize(slim.withColumn("rid", F.monotonically_increasing_id()), "lines").where("rid is not null")
-    # by hashes first: which chunks might be repeated, and which documents have them
-    c = F.explode(chunks(F.col("text"))).alias("c")
-    every = rows.select("rid", c).where(f"c.n_lines >= {LEAST_LINES}").where(F.length(F.translate("c.body", SPACES, "")) > 0)
-    keys = materialize(every.select("rid", F.col("c.no").alias("no"), F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(1), "c.body").alias("h2")), "chunks")
-    often = keys.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    touched = keys.join(often, ["h1", "h2"]).groupBy("rid").agg(F.collect_list(F.struct("no", "h1", "h2")).alias("maybe"))
-    # then by bytes, of these chunks only; the exchange of rows by rid serves the last join too
-    held = rows.join(touched, "rid").select("rid", "doc_id", chunks(F.col("text")).alias("cs"), F.explode("maybe").alias("m"))
-    keyed = held.select("rid", "doc_id", "m.no", "m.h1", "m.h2", F.get("cs", F.col("m.no")).alias("c")).select("rid", "doc_id", "no", "h1", "h2", "c.n_lines", "c.body")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "no")
-    by_bytes = keyed.groupBy("h1", "h2", "body").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines"), F.min(place).alias("first"))
-    repeated = by_bytes.groupBy("h1", "h2").agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.min("first").alias("first"), F.first("n_lines").alias("n_lines")).where("n > 1 and variants = 1")
-    repeated = repeated.select("h1", "h2", "n_lines", F.col("first.rid").alias("first_rid"), F.col("first.no").alias("first_no"))
-    again = keys.join(repeated, ["h1", "h2"]).where("rid <> first_rid or no <> first_no")
-    removed = again.groupBy("rid").agg(F.collect_list("no").alias("gone"), F.sum("n_lines").alias("gone_lines"))
-    joined = rows.join(removed, "rid", "left")
-    left = let(
-        chunks(F.col("text")),
-        lambda cs: F.array_join(F.transform(F.filter(cs, lambda c: ~F.array_contains(F.col("gone"), c["no"])), lambda c: c["body"]), "\n"),
-    )
-    return joined.select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"),
-        F.coalesce("gone_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed_chunks"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
-    )
-
-
 def passages(text: Column) -> Column:
     """Array of struct(kind, at, n, h): chunks, pairs and long lines of a text that have a word; h is their hash."""
 
@@ -141,13 +111,13 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str
 
     n_removed_chunks counts the content-defined chunks among the repeated passages.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     # the condition always holds; it makes the exchanges of both joins with texts alike, so that one serves both
     rows = materialize(slim.withColumn("rid", F.monotonically_increasing_id()), "lines").where("rid is not null")
     # by hashes first: which passages might be repeated, and which documents have them
     keys = materialize(rows.select("rid", F.explode(passages(F.col("text"))).alias("p")).select("rid", "p.*"), "passages")
-    often = keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    maybe = keys.join(often, "h").groupBy("rid").agg(F.collect_list(F.struct("kind", "at", "n")).alias("maybe"))
+    often = materialize(keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    maybe = spread_join(keys, often, ["h"], "c").groupBy("rid").agg(F.collect_list(F.struct("kind", "at", "n")).alias("maybe"))
     # then by bytes, of these passages only
     held = rows.join(maybe, "rid").select(
         "rid",
@@ -162,8 +132,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str
     held = materialize(held.select("rid", "doc_id", "p.*"), "held")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at", "n")
     firsts = held.groupBy("kind", "digest").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
-    firsts = firsts.select("kind", "digest", F.col("first.rid").alias("first_rid"), F.col("first.at").alias("first_at"), (F.col("first.at") + F.col("first.n")).alias("first_end"))
-    again = held.join(firsts, ["kind", "digest"]).where("rid <> first_rid or at <> first_at")
+    firsts = firsts.select("kind", "digest", "c", F.col("first.rid").alias("first_rid"), F.col("first.at").alias("first_at"), (F.col("first.at") + F.col("first.n")).alias("first_end"))
+    again = spread_join(held, materialize(firsts, "firsts"), ["kind", "digest"], "c").where("rid <> first_rid or at <> first_at")
     start = F.when(F.col("rid") == F.col("first_rid"), F.greatest("at", "first_end")).otherwise(F.col("at"))
     removed = again.groupBy("rid").agg(F.collect_list(F.struct(start.alias("start"), (F.col("at") + F.col("n") - 1).alias("end"))).alias("gone"), F.count_if(F.col("kind") == CHUNK).alias("gone_chunks"))
     left = let(

@@ -9,14 +9,20 @@ is read once and the others as often as their weight asks for.
 A source's stream is one permutation of its documents after the other, each in the order of a hash. The
 last permutation is cut where the source's token budget ends: whole hash ranges first, then single
 documents within one range, so that no task orders a whole source. The mixture is cut into BLOCKS blocks;
-each holds every source in proportion to its weight, in a random order.
+each holds every source in proportion to its weight, in a random order. :func:`mixture` gives each row its
+place in its block, counted by hash ranges and then within one range; :func:`mix_documents` returns the
+documents in that order, block after block.
 
-Built-in functions only; the weights come from one row for all sources.
+Built-in functions only. Weights are computed row by row of the table of sources from a few sums over it,
+so there may be as many sources as hosts; sources that many rows have are joined apart
+(:func:`pathlode.llm.common.spread_join`).
 
 Defined cases: null sources are one source; null and empty texts have no tokens and stay once in each
 permutation; a source without any token keeps each document once; equal rows are taken or left together
-in the last permutation; an empty table gives no rows; other columns are kept by :func:`mix_documents`,
-whose only additions are dropped again.
+in the last permutation; rows whose hashes tie are ordered by id, then by place in the table; a target
+entropy that not even the sources as they are go down to leaves the shares as they are; texts are only
+counted, so their length does not matter; an empty table gives no rows; other columns are kept by
+:func:`mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +32,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlode.llm.common import SPACE_CLASS, let, materialize
+from pathlode.llm.common import SPACE_CLASS, let, materialize, spread_join
 
-RANGE_BITS, BLOCKS, STEPS = 12, 64, 60
+RANGE_BITS, BLOCKS, STEPS, GRID = 12, 64, 60, 32
 #: Default limit of the repetition of a source.
 MAX_REPEATS = 2.0
 _UNIT = float(1 << 63)
@@ -50,55 +56,64 @@ def place_of(columns: list[Column], seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)
 
 
-def _bisect(low_holds: Column, test) -> Column:
-    """The smallest exponent in [0, 1] for which ``test`` holds; it holds at 1 and is monotone."""
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+def _bisect(test) -> float:
+    """The smallest exponent in [0, 1] for which ``test`` holds; it is taken to hold at 1 and is monotone."""
+    if test(0.0):
+        return 0.0
+    low, high = 0.0, 1.0
+    for _ in range(STEPS):
+        middle = (low + high) / 2
+        low, high = (low, middle) if test(middle) else (middle, high)
+    return high
 
-    def step(s: Column, _: Column) -> Column:
-        return let(
-            (s["lo"] + s["hi"]) / 2,
-            lambda mid: F.when(test(mid), F.struct(s["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), s["hi"].alias("hi"))),
-        )
 
-    return F.when(low_holds, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["hi"])
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+def _bisect_many(test_many) -> float:
+    """As :func:`_bisect`, with GRID exponents tested at once: each round is one pass over the sources."""
+    low, high = 0.0, 1.0
+    while high - low > 2.0**-50:
+        grid = [low + (high - low) * k / GRID for k in range(GRID)]
+        held = test_many(grid)
+        first = held.index(True) if True in held else GRID
+        if first == 0:
+            return grid[0]
+        low, high = grid[first - 1], grid[first] if first < GRID else high
+    return high
 
 
 def weights(totals: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None) -> DataFrame:
-    """One row for each source of ``totals`` (key, tokens): key, tokens, share, exponent, weight, epochs.
+    """One row for each source of ``totals`` (key, tokens, n) that has tokens: key, tokens, n, share, exponent, weight, epochs.
 
-    ``epochs`` is how often the source is read within the budget, 1 at least.
+    ``epochs`` is how often the source is read within the budget, 1 at least. ``totals`` should be a written
+    table; only sums over it come to the driver.
     """
-    row = totals.where("tokens > 0").agg(F.sort_array(F.collect_list(F.struct("key", "tokens"))).alias("s"))
-    row = row.select("s", _total(F.transform("s", lambda x: x["tokens"].cast("double"))).alias("all"))
-    row = row.select("s", F.transform("s", lambda x: x["tokens"] / F.col("all")).alias("p"))
+    some = totals.where("tokens > 0")
+    sums = some.agg(F.sum("tokens").alias("total"), F.max("tokens").alias("most"), F.min("tokens").alias("least")).first()
+    if sums.total is None:
+        return some.select("key", "tokens", "n", *[F.lit(0.0).alias(c) for c in ("share", "exponent", "weight", "epochs")])
+    share = F.col("tokens") / F.lit(float(sums.total))
+
+    def powers(a: float) -> tuple[Column, Column]:
+        return F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share))
 
     if target_entropy is not None:
 
-        def holds(a: Column) -> Column:
-            powers = F.transform("p", lambda p: F.pow(p, a))
-            z, e = _total(powers), _total(F.transform("p", lambda p: F.pow(p, a) * F.log(p)))
-            return F.log(z) - a * e / z <= F.lit(float(target_entropy))
+        def holds(grid: list[float]) -> list[bool]:
+            row = some.agg(*[c for a in grid for c in powers(a)]).first()
+            return [math.log(row[2 * k]) - a * row[2 * k + 1] / row[2 * k] <= target_entropy for k, a in enumerate(grid)]
+
+        exponent = _bisect_many(holds)
     else:
-        spread = F.array_max("p") / F.array_min("p")
-
-        def holds(a: Column) -> Column:
-            return F.pow(spread, 1 - a) <= F.lit(float(max_repeats if max_repeats is not None else math.inf))
-
-    row = row.select("s", "p", _bisect(holds(F.lit(0.0)), holds).alias("exponent"))
-    row = row.select("s", "p", "exponent", _total(F.transform("p", lambda p: F.pow(p, F.col("exponent")))).alias("z"))
-    each = row.select(F.posexplode("s").alias("i", "x"), "p", "exponent", "z")
-    share = F.get("p", F.col("i"))
-    return each.select(
-        F.col("x.key").alias("key"),
-        F.col("x.tokens").alias("tokens"),
+        limit = max_repeats if max_repeats is not None else math.inf
+        exponent = _bisect(lambda a: (sums.most / sums.least) ** (1 - a) <= limit)
+    z = some.agg(powers(exponent)[0]).first()[0]
+    return some.select(
+        "key",
+        "tokens",
+        "n",
         share.alias("share"),
-        "exponent",
-        (F.pow(share, F.col("exponent")) / F.col("z")).alias("weight"),
-        F.greatest(F.lit(1.0), F.pow(F.array_max("p") / share, 1 - F.col("exponent"))).alias("epochs"),
+        F.lit(exponent).alias("exponent"),
+        (F.pow(share, F.lit(exponent)) / F.lit(z)).alias("weight"),
+        F.greatest(F.lit(1.0), F.pow(F.lit(float(sums.most)) / F.col("tokens"), F.lit(1 - exponent))).alias("epochs"),
     )
 
 
@@ -109,59 +124,73 @@ def plan_mix(docs: DataFrame, source: str, id_col: str, text: str, seed: int, **
         F.col(f"`{source}`").cast("string").alias("source"),
         count_tokens(F.col(f"`{text}`")).alias("tokens"),
         place_of([F.col(f"`{id_col}`"), F.col(f"`{text}`")], seed).alias("place"),
+        F.monotonically_increasing_id().alias("rid"),
     )
-    rows = materialize(slim.withColumn("key", source_key(F.col("source"))), "mix")
-    span = F.shiftright("place", 63 - RANGE_BITS).cast("int")
-    ranges = materialize(rows.groupBy("key", span.alias("span")).agg(F.sum("tokens").alias("tokens")), "ranges")
-    weight = materialize(weights(ranges.groupBy("key").agg(F.sum("tokens").alias("tokens")), **goal), "weights")
+    rows = materialize(slim.withColumn("key", source_key(F.col("source"))).withColumn("span", _span(F.col("place"))), "mix")
+    ranges = materialize(rows.groupBy("key", "span").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "ranges")
+    totals = materialize(ranges.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")), "totals")
+    weight = materialize(weights(totals, **goal), "weights")
 
     whole = F.floor(F.col("epochs") + 1e-9)
-    cut = weight.select("key", "share", "exponent", "weight", "epochs", whole.cast("int").alias("whole"), (F.greatest(F.lit(0.0), F.col("epochs") - whole) * F.col("tokens")).alias("goal"))
+    cut = weight.select("key", "n", "share", "exponent", "weight", "epochs", whole.cast("int").alias("whole"), (F.greatest(F.lit(0.0), F.col("epochs") - whole) * F.col("tokens")).alias("goal"))
     before = F.sum("tokens").over(Window.partitionBy("key").orderBy("span")) - F.col("tokens")
-    placed = ranges.withColumn("before", before).join(cut.select("key", "goal"), "key")
-    edge = placed.where("before <= goal and goal < before + tokens").groupBy("key").agg(F.max(F.struct("span", "before", "goal")).alias("e")).select("key", "e.*")
-    inside = rows.join(edge, "key").where(span == F.col("span")).groupBy("key", "place", "before", "goal").agg(F.sum("tokens").alias("tokens"))
+    placed = ranges.withColumn("before", before).join(cut.select("key", "goal"), "key").where("goal > 0")
+    edge = materialize(placed.where("before <= goal and goal < before + tokens").select("key", "span", "n", "before", "goal"), "edges")
+    inside = spread_join(rows.select("key", "span", "place", "tokens"), edge, ["key", "span"], "n").groupBy("key", "place", "before", "goal").agg(F.sum("tokens").alias("tokens"))
     reached = F.col("before") + F.sum("tokens").over(Window.partitionBy("key").orderBy("place"))
     taken = inside.withColumn("reached", reached).where("reached <= goal").groupBy("key").agg(F.max("place").alias("last"))
     start_of_edge = edge.select("key", (F.shiftleft(F.col("span").cast("long"), 63 - RANGE_BITS) - 1).alias("floor"))
-    plan = cut.join(start_of_edge, "key", "left").join(taken, "key", "left").select("key", "share", "exponent", "weight", "epochs", "whole", F.coalesce("last", "floor", F.lit(-1)).cast("long").alias("last"))
+    plan = cut.join(start_of_edge, "key", "left").join(taken, "key", "left").select("key", "n", "share", "exponent", "weight", "epochs", "whole", F.coalesce("last", "floor", F.lit(-1)).cast("long").alias("last"))
     return rows, materialize(plan, "plan")
 
 
+def _span(place: Column) -> Column:
+    return F.shiftright(place, 63 - RANGE_BITS).cast("int")
+
+
 def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows (with key and place) once for each permutation that they are in: adds epoch and plan columns."""
-    joined = rows.join(plan.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key"), "left").drop("__key")
+    """Rows (with key, place and rid) once for each permutation that they are in.
+
+    Adds the plan's columns, copies, epoch, block, and ``turn``: the hash that orders a block.
+    """
+    joined = spread_join(rows, plan, ["key"], "n", "left")
     n = F.coalesce(F.col("whole") + (F.col("place") <= F.col("last")).cast("int"), F.lit(1))
-    return joined.withColumn("copies", n).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = joined.withColumn("copies", n).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    full = F.col("epoch") <= F.col("whole")
+    own = F.shiftrightunsigned(F.xxhash64("place", "epoch"), 1)
+    at = F.when(full, F.col("epoch") - 1 + own / _UNIT).otherwise(F.col("whole") + (F.col("epochs") - F.col("whole")) * F.col("place") / (F.col("last") + 1.0))
+    # a source without tokens has no plan: its rows are dealt to the blocks by their hash
+    block = F.coalesce(F.floor(BLOCKS * at / F.col("epochs")), F.floor(BLOCKS * (own / _UNIT)))
+    return out.withColumn("block", F.least(F.lit(BLOCKS - 1), block).cast("int")).withColumn("turn", F.shiftrightunsigned(F.xxhash64("place", "epoch", "rid"), 1))
 
 
 def mixture(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text: str = "text", seed: int = 7, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None) -> DataFrame:
-    """The mixture without texts: doc_id, source, tokens, epoch, copies, exponent, weight, block, place_in_block."""
+    """The mixture without texts: doc_id, source, tokens, epoch, copies, exponent, weight, block, place_in_block.
+
+    ``place_in_block`` counts from 0 without gaps: the rows of the block in earlier ranges of ``turn``,
+    and then the rank within the range.
+    """
     rows, plan = plan_mix(docs, source, id_col, text, seed, max_repeats=max_repeats, target_entropy=target_entropy)
-    out = _copies(rows, plan)
-    full = F.col("epoch") <= F.col("whole")
-    own = F.shiftrightunsigned(F.xxhash64("place", "epoch"), 1)
-    at = F.when(full, F.col("epoch") - 1 + own / _UNIT).otherwise(F.col("whole") + (F.col("epochs") - F.col("whole")) * F.col("place") / (F.col("last") + 1.0))
-    block = F.least(F.lit(BLOCKS - 1), F.floor(BLOCKS * at / F.col("epochs")))
-    return out.select(
-        "doc_id",
-        "source",
-        "tokens",
-        "epoch",
-        "copies",
-        "exponent",
-        "weight",
-        F.coalesce(block, F.lit(0)).cast("int").alias("block"),
-        F.xxhash64("place", "epoch", F.lit(1)).alias("place_in_block"),
-    )
+    out = materialize(_copies(rows, plan).select("doc_id", "source", "tokens", "epoch", "copies", "exponent", "weight", "block", "turn", "rid", _span(F.col("turn")).alias("part")), "mixture")
+    counts = out.groupBy("block", "part").agg(F.count("*").alias("c"))
+    start = F.sum("c").over(Window.partitionBy("block").orderBy("part")) - F.col("c")
+    starts = counts.select("block", "part", start.alias("start"))
+    rank = F.row_number().over(Window.partitionBy("block", "part").orderBy("turn", F.col("doc_id").asc_nulls_last(), "rid", "epoch")) - 1
+    placed = out.withColumn("rank", rank).join(starts, ["block", "part"])
+    return placed.select("doc_id", "source", "tokens", "epoch", "copies", "exponent", "weight", "block", (F.col("start") + F.col("rank")).cast("long").alias("place_in_block"))
 
 
 def mix_documents(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text: str = "text", seed: int = 7, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None) -> DataFrame:
     """The documents of the mixture, each as often as it is read, with the columns of ``docs``.
 
-    The texts are not shuffled: whether a row is in the last permutation follows from its hash alone.
+    They come in the order of :func:`mixture`: partitions follow the blocks, and each is sorted. This deals
+    every text once, which is what mixing is.
     """
     _, plan = plan_mix(docs, source, id_col, text, seed, max_repeats=max_repeats, target_entropy=target_entropy)
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(whole_row, source_key(F.col(f"`{source}`")).alias("key"), place_of([F.col(f"`{id_col}`"), F.col(f"`{text}`")], seed).alias("place"))
-    return _copies(rows, plan).select("row.*")
+    rows = docs.select(whole_row, source_key(F.col(f"`{source}`")).alias("key"), place_of([F.col(f"`{id_col}`"), F.col(f"`{text}`")], seed).alias("place"), F.monotonically_increasing_id().alias("rid"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.lit(parts - 1), F.floor(parts * (F.col("block") + F.col("turn") / _UNIT) / BLOCKS).cast("int"))
+    dealt = _copies(rows, plan).select("row", "block", "turn", "rid", "epoch").repartitionById(parts, part)
+    ordered = dealt.sortWithinPartitions("block", "turn", F.col(f"row.`{id_col}`").cast("long").asc_nulls_last(), "rid", "epoch")
+    return ordered.select("row.*")

@@ -1,7 +1,8 @@
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pathlode.llm import mixing
 from pyspark.sql import functions as F
 
@@ -66,3 +67,95 @@ def test_odd_rows(spark):
     assert len(got) >= 5 and {r.doc_id for r in got} == {1, 2, 3, None}
     assert mixing.mix_documents(table.limit(0)).count() == 0
     assert mixing.mixture(table.where("text = ''")).count() == 1
+
+
+def spark_hash(*values):
+    """xxhash64 of ints (4 bytes), longs (tuples of one) and texts; nulls leave the seed as it is."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(4, "little") if isinstance(v, int) else v[0].to_bytes(8, "little", signed=True) if isinstance(v, tuple) else v.encode(), h)
+    return h
+
+
+def brute(rows, exponent_of, seed=7):
+    """(doc_id, epoch, copies, block, place_in_block) of each row of the mixture, and the weights, in plain Python."""
+    tokens, by_source = defaultdict(int), defaultdict(list)
+    for rid, (d, t, s) in rows:
+        n = len((t or "").split())
+        tokens[s] += n
+        by_source[s].append((spark_hash(seed, None if d is None else (d,), t) >> 1, n, rid, d))
+    total = sum(tokens.values())
+    shares = {s: n / total for s, n in tokens.items() if n}
+    a = exponent_of(shares)
+    z = sum(p**a for p in shares.values())
+    out, weights = [], {s: p**a / z for s, p in shares.items()}
+    for s, own in by_source.items():
+        epochs = max(1.0, (max(shares.values()) / shares[s]) ** (1 - a)) if s in shares else 1.0
+        whole, reached, last = math.floor(epochs + 1e-9), 0, -1
+        goal = max(0.0, epochs - whole) * tokens[s]
+        for place in sorted({p for p, *_ in own}):
+            reached += sum(n for p, n, *_ in own if p == place)
+            if goal > 0 and reached <= goal:
+                last = place
+            elif goal > 0:  # the hash range in which the goal lies is begun
+                last = max(last, ((place >> 51) << 51) - 1)
+                break
+        for place, n, rid, d in own:
+            copies = whole + (place <= last)
+            for e in range(1, copies + 1):
+                part = (spark_hash((place,), e) >> 1) / 2.0**63
+                at = e - 1 + part if e <= whole else whole + (epochs - whole) * place / (last + 1.0)
+                if s not in shares:
+                    at, epochs = part, 1.0
+                turn = spark_hash((place,), e, (rid,)) >> 1
+                out.append([min(63, math.floor(64 * at / epochs)), turn, d is None, d or 0, rid, e, copies])
+    seen = Counter()
+    got = []
+    for block, _, none, d, _, e, copies in sorted(out):
+        got.append((None if none else d, e, copies, block, seen[block]))
+        seen[block] += 1
+    return got, weights
+
+
+def fixture():
+    rows = []
+    for d in range(900):
+        source = ["big"] * 6 + ["mid"] * 2 + ["low", None]
+        rows.append((d, "w " * (1 + d * 7 % 40) + str(d), source[d % 10]))
+    return rows + [(None, None, "empty"), (None, "", "empty"), (5, "again", "low"), (5, "again", "low"), (901, None, "big")]
+
+
+@pytest.mark.parametrize("goal", [{"max_repeats": 2.0}, {"max_repeats": 1.3}, {"max_repeats": None, "target_entropy": 1.2}])
+def test_against_brute_force(spark, goal):
+    rows = fixture()
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, block string").coalesce(1)
+
+    def exponent(shares):
+        if goal["max_repeats"]:
+            return max(0.0, 1 - math.log(goal["max_repeats"]) / math.log(max(shares.values()) / min(shares.values())))
+        low, high = 0.0, 1.0
+        for _ in range(100):
+            mid = (low + high) / 2
+            z = sum(p**mid for p in shares.values())
+            entropy = -sum(p**mid / z * math.log(p**mid / z) for p in shares.values())
+            low, high = (low, mid) if entropy <= 1.2 else (mid, high)
+        return high
+
+    want, weights = brute(list(enumerate(rows)), exponent)
+    got = mixing.mixture(table, **goal).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted([(r.doc_id, r.epoch, r.copies, r.block, r.place_in_block) for r in got], key=key) == sorted(want, key=key)
+    for r in got:
+        if r.source != "empty":
+            assert r.weight == pytest.approx(weights[r.source], rel=1e-9)
+    # the documents come in this order
+    order = [d for d, _, _, block, place in sorted(want, key=lambda r: (r[3], r[4]))]
+    assert [r.doc_id for r in mixing.mix_documents(table, **goal).collect()] == order
+
+
+def test_very_many_sources(spark):
+    table = spark.range(60_000).selectExpr("id AS doc_id", "'some words here' AS text", "if(id % 3 = 0, 'hot', concat('host', id)) AS source")
+    got = mixing.mixture(table, target_entropy=9.0, max_repeats=None).groupBy("source").agg(F.max("weight").alias("w"), F.count("*").alias("c"))
+    total = got.agg(F.sum("w"), F.sum(-F.col("w") * F.log("w")), F.count("*")).first()
+    assert total[0] == pytest.approx(1.0, rel=1e-6) and total[1] == pytest.approx(9.0, rel=1e-6) and total[2] == 40_001

@@ -9,8 +9,9 @@ Everything is a built-in function or an aggregate. The counts are of all documen
 most 3 to the number of rules, whatever the input's size, so EM runs over them in the driver.
 
 Defined cases: null and empty texts have no words and every count 0; such documents fail the base rules;
-an empty table gives no rows (EM then keeps its starting values); repeated rows are judged alike; other
-columns are ignored by :func:`measure` and kept by :func:`filter_quality`, whatever their names.
+an empty table gives no rows (EM then keeps its starting values); repeated rows are judged alike; a
+posterior of exactly one half keeps the document; a text is measured whole in one task, in time n log n;
+other columns are ignored by :func:`measure` and kept by :func:`filter_quality`, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def repeat_words(tokens: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> Column:
     """Struct of the counts that rules use, all over the whole text."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
 
     def counts(tokens: Column) -> Column:
         return F.struct(F.size(tokens).cast("long").alias("n_words"), F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"), repeat_words(tokens).cast("long").alias("n_repeat_words"))
@@ -189,53 +190,41 @@ def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, r
 _FLAT = ("w.n_words", "w.n_distinct", "word_chars", "n_alnum", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", "n_exclaim", "n_upper")
 
 
-def measures(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
-    """``keep`` and a struct ``__q`` of the flat counts of each document."""
-    raw = docs.select(*keep, measure(docs, text).alias("__m"))
-    flat = F.struct(*[F.col(f"__m.{c}").alias(c.split(".")[-1]) for c in _FLAT])
-    return raw.select(*[c for c in raw.columns if c != "__m"], flat.alias("__q"))
+def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Two structs: ``row``, the columns ``keep`` of each document (all by default), and ``q``, its counts."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)])
+    raw = docs.select(row.alias("row"), measure(docs, text).alias("m"))
+    return raw.select("row", F.struct(*[F.col(f"m.{c}").alias(c.split(".")[-1]) for c in _FLAT]).alias("q"))
 
 
-def _votes(measured: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    return measured.select("__q.*").select(*[r.vote().alias(f"v{j}") for j, r in enumerate(rules)])
+def votes(rules: tuple[Rule, ...]) -> list[Column]:
+    """The rules' votes over the columns of ``q``."""
+    return [Rule(r.name, _of_q(r.good), _of_q(r.bad)).vote() for r in rules]
+
+
+def _of_q(condition: str) -> str:
+    return re.sub(r"\b(n_\w+|word_chars)\b", r"q.\1", condition)
 
 
 def label_model(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
     """Fit the label model to the votes on all rows of ``measured``."""
     names = [f"v{j}" for j in range(len(rules))]
-    counted = _votes(measured, rules).groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
+    voted = measured.select(*[v.alias(n) for v, n in zip(votes(rules), names, strict=True)])
+    counted = voted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
     return fit_label_model([(tuple(r[:-1]), r.n) for r in counted], len(rules))
 
 
 def judge(measured: DataFrame, model: LabelModel, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """Add ``__base_failed``, ``__quality`` (the posterior) and ``__kept``."""
-    inner = {f: F.col(f"__q.{f}") for f in (name.split(".")[-1] for name in _FLAT)}
-    lifted = measured.select("*", *[c.alias(f"__q_{n}") for n, c in inner.items()])
-
-    def over(condition: str) -> str:
-        return re.sub(r"\b(n_\w+|word_chars)\b", r"__q_\1", condition)
-
-    votes = [Rule(r.name, over(r.good), over(r.bad)).vote() for r in rules]
-    failed = F.expr(over(BASE_FAILED))
-    out = lifted.select(*[F.col(f"`{c}`") for c in measured.columns], failed.alias("__base_failed"), model.posterior(votes).alias("__quality"))
-    return out.withColumn("__kept", ~F.col("__base_failed") & (F.col("__quality") >= least))
+    """row, q, base_failed, quality (the posterior) and kept."""
+    out = measured.select("row", "q", F.expr(_of_q(BASE_FAILED)).alias("base_failed"), model.posterior(votes(rules)).alias("quality"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for each document: its counts, base verdict, posterior and verdict."""
-    measured = materialize(measures(docs, [F.col(id_col)], text), "quality")
+    """One row for each document: its id, its counts, base verdict, verdict and posterior."""
+    measured = materialize(measures(docs, text, [id_col]), "quality")
     judged = judge(measured, label_model(measured, rules), rules)
-    return judged.select(
-        id_col,
-        "__q.n_words",
-        "__q.word_chars",
-        "__q.n_symbols",
-        "__q.n_dup_lines",
-        "__q.n_repeat_words",
-        F.col("__base_failed").alias("base_failed"),
-        F.col("__kept").alias("kept"),
-        F.col("__quality").alias("quality"),
-    )
+    return judged.select(F.col(f"row.`{id_col}`").alias(id_col), "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept", "quality")
 
 
 def filter_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -244,9 +233,8 @@ def filter_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     Measures are written once beside the rows, so that the texts are measured once and nothing is
     joined back.
     """
-    measured = materialize(measures(docs, [F.col(f"`{c}`") for c in docs.columns], text), "quality")
-    judged = judge(measured, label_model(measured, rules), rules)
-    return judged.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    measured = materialize(measures(docs, text), "quality")
+    return judge(measured, label_model(measured, rules), rules).where("kept").select("row.*")
 
 
 __all__ = ["RULES", "SPACE_CLASS", "LabelModel", "Rule", "filter_quality", "fit_label_model", "judge", "label_model", "measures", "quality_report", "repeat_words"]

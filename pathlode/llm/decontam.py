@@ -9,22 +9,30 @@ the ``m`` smallest hashes of its set, ``m = floor((1 - PERCENT/100) * n) + 1`` f
 the partition. An item contained to PERCENT misses at most ``(1 - PERCENT/100) * n`` shingles, so at
 least one kept minimum occurs in the document: nothing is missed. Hits are confirmed on the full sets.
 
-Documents are read once and never shuffled. Items are held by every task, so they are taken in blocks of
-at most BLOCK_ITEMS; more items mean more passes over the documents, not more memory.
+Each partition has an index of its own, searched with all shingles of the document.
+
+Documents are never shuffled. Items are held by every task, so they are taken in blocks of at most
+BLOCK_ITEMS and BLOCK_BYTES, which pass through the driver one after the other; more items mean more
+passes over the documents, not more memory. A worker process makes the index of a block once.
 
 Defined cases: null or empty texts (documents or items) contain nothing and are contained in nothing;
-items with equal texts are each reported; repeated documents are each reported; empty tables give no
-rows; other columns are ignored, and kept by :func:`decontaminate`.
+items with equal texts are each reported; repeated documents are each reported; ids of items may be of any
+simple type, also null; a containment of exactly PERCENT counts; documents of any length are searched
+whole, by one task each; empty tables give no rows; other columns are ignored, and kept by
+:func:`decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pathlode.llm.shingles import WIDTH, mix, shingle_hashes, words_of
 
@@ -46,42 +54,52 @@ def exact_shingles(words: list[bytes], width: int = WIDTH) -> set[tuple[bytes, .
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
+@dataclass
+class SizePartition:
+    """The items of between 2**(k - 1) and 2**k - 1 shingles: their kept minima, sorted, and whose they are."""
+
+    keys: np.ndarray
+    owners: np.ndarray
+
+    def owners_in(self, hashes: np.ndarray) -> set[int]:
+        """Items of which one kept minimum is among ``hashes``."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        hit = np.unique(hashes[self.keys[at] == hashes])
+        lo, hi = np.searchsorted(self.keys, hit, "left"), np.searchsorted(self.keys, hit, "right")
+        return {int(o) for a, b in zip(lo, hi, strict=True) for o in self.owners[a:b]}
+
+
 class ItemIndex:
-    """Items by the hashes that they keep; the arrays are sorted for binary search."""
+    """Items by size partition, each with an index and a number of minima of its own."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int = PERCENT) -> None:
+    def __init__(self, items: list[tuple[object, str]], percent: int = PERCENT) -> None:
         self.percent, self.ids, self.sets = percent, [], []
-        keys, owners = [], []
+        kept: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
             hashes = np.unique(shingle_hashes(words))
             if not len(hashes):
                 continue
             order = np.argsort(mix(hashes), kind="stable")
-            kept = hashes[order[: minima_kept(len(hashes), percent)]]
-            keys.append(kept)
-            owners.append(np.full(len(kept), len(self.ids)))
+            kept.setdefault(len(hashes).bit_length(), []).append((hashes[order[: minima_kept(len(hashes), percent)]], len(self.ids)))
             self.ids.append(item_id)
             self.sets.append(exact_shingles(words))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, dtype=_U)
-        self.owners = np.concatenate(owners) if owners else np.empty(0, dtype=np.int64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owners = self.keys[order], self.owners[order]
-        self.distinct = np.unique(self.keys)
+        self.partitions = []
+        for _, own in sorted(kept.items()):
+            keys = np.concatenate([k for k, _ in own])
+            owners = np.repeat([o for _, o in own], [len(k) for k, _ in own])
+            order = np.argsort(keys, kind="stable")
+            self.partitions.append(SizePartition(keys[order], owners[order]))
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(position of the item, shingles found, shingles of the item) of every item in the text."""
         words = words_of(text)
-        if not len(self.keys) or not words:
+        if not self.partitions or not words:
             return []
         hashes = shingle_hashes(words)
-        at = np.searchsorted(self.distinct, hashes)
-        at[at == len(self.distinct)] = 0
-        hit = np.unique(hashes[self.distinct[at] == hashes])
-        if not len(hit):
+        possible = sorted(set().union(*[p.owners_in(hashes) for p in self.partitions]))
+        if not possible:
             return []
-        lo, hi = np.searchsorted(self.keys, hit, "left"), np.searchsorted(self.keys, hit, "right")
-        possible = sorted({int(o) for a, b in zip(lo, hi, strict=True) for o in self.owners[a:b]})
         own = exact_shingles(words)
         found = []
         for k in possible:
@@ -91,10 +109,20 @@ class ItemIndex:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
+#: The index that this process made last: tasks that come after one another share it.
+_last: list = [None, None]
+
+
+def _index_of(key: str, shared, percent: int) -> ItemIndex:
+    if _last[0] != (key, percent):
+        _last[:] = [(key, percent), ItemIndex(shared.value, percent)]
+    return _last[1]
+
+
+def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text") -> Iterator[list[tuple[object, str]]]:
     """The stated test items, in blocks of bounded size."""
     block, size = [], 0
-    for row in items.select(F.col(id_col).alias("i"), F.col(text).alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
+    for row in items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
         if block and (len(block) >= BLOCK_ITEMS or size + len(row.t) > BLOCK_BYTES):
             yield block
             block, size = [], 0
@@ -104,37 +132,44 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text") -
         yield block
 
 
-def _searcher(shared, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searcher(shared, key: str, percent: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kinds = [pa.int64(), id_type, pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(shared.value, percent)
+        index = _index_of(key, shared, percent)
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [(key, index.ids[k], both, n) for k, both, n in index.search(text.as_py())]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows += [(doc, index.ids[k], both, n) for k, both, n in index.search(text.as_py())]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_found", "n_item"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_found", "n_item"])
 
     return run
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row for each document and test item in it: doc_id, item_id, n_found, n_item, containment."""
+    """One row for each document and test item in it: doc_id, item_id, n_found, n_item, containment.
+
+    ``item_id`` has the type that it has in ``items``.
+    """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    kind = items.schema["item_id"].dataType
+    schema = f"doc_id long, item_id {kind.simpleString()}, n_found long, n_item long"
     out = None
     for block in item_blocks(items):
-        found = slim.mapInArrow(_searcher(spark.sparkContext.broadcast(block), percent), "doc_id long, item_id long, n_found long, n_item long")
+        found = slim.mapInArrow(_searcher(spark.sparkContext.broadcast(block), uuid.uuid4().hex, percent, to_arrow_type(kind)), schema)
         out = found if out is None else out.union(found)
     if out is None:
-        out = spark.createDataFrame([], "doc_id long, item_id long, n_found long, n_item long")
+        out = spark.createDataFrame([], schema)
     return out.withColumn("containment", F.col("n_found") / F.col("n_item"))
 
 
-def _flagger(shared, percent: int, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _flagger(shared, key: str, percent: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(shared.value, percent)
+        index = _index_of(key, shared, percent)
         for batch in batches:
-            clean = [not index.search(t.as_py()) for t in batch.column(text_col)]
+            clean = [not index.search(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run
@@ -143,6 +178,7 @@ def _flagger(shared, percent: int, text_col: str) -> Callable[[Iterator[pa.Recor
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that hold no test item, with the columns of ``docs``."""
     spark = docs.sparkSession
+    at = docs.columns.index(text)
     for block in item_blocks(items):
-        docs = docs.mapInArrow(_flagger(spark.sparkContext.broadcast(block), percent, text), docs.schema)
+        docs = docs.mapInArrow(_flagger(spark.sparkContext.broadcast(block), uuid.uuid4().hex, percent, at), docs.schema)
     return docs

@@ -48,3 +48,32 @@ def test_blocks_give_the_same(spark, monkeypatch):
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs, items).count() == 0 and decontam.decontaminate(docs, items).count() == 0
+
+
+def test_item_ids_of_other_types_and_very_long_documents(spark):
+    rng = random.Random(2)
+    item = " ".join(f"i{k}" for k in range(34))
+    long = " ".join(f"w{rng.randrange(40_000)}" for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " " + item + " " + long), (3, item)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", item), (None, item), ("c", "not there at all, is it")], "item_id string, text string")
+    got = decontam.contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id or "", r.n_found) for r in got) == [(d, i, 30) for d in (2, 3) for i in ("", "a")]
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [1]
+
+
+def test_every_size_partition_finds_what_just_suffices(spark):
+    """Items of each size with as many shingles changed as 75 % allows, and with one more."""
+    rng = random.Random(9)
+    docs, items, expected = [], [], []
+    for n in (1, 2, 3, 4, 7, 8, 15, 16, 31, 33, 64, 100, 127, 128, 300):
+        words = [f"u{n}x{k}" for k in range(n + 4)]
+        items.append((n, " ".join(words)))
+        for more in (0, 1):
+            # words cut off at the end take one shingle each
+            lost = n // 4 + more
+            body = [f"z{rng.random()}" for _ in range(50)] + words[: len(words) - lost] + [f"y{rng.random()}"]
+            docs.append((n * 10 + more, " ".join(body)))
+            if 100 * (n - lost) >= 75 * n and n - lost > 0:
+                expected.append((n * 10 + more, n, n - lost))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_found) for r in got) == sorted(expected) and len(expected) == 15

@@ -10,20 +10,27 @@
    representative: copies of one text differ from each other by their own changes, so an index of
    these few changes (prefix filter, exact) gives the pairs that are still worth a look.
 4. A candidate pair's registers give an estimate of its similarity, corrected for chance collisions of the
-   compressed registers. Only pairs far below the threshold are dropped on the estimate; all others are
-   confirmed on the full sets: 100 * |intersection| >= 75 * |union|.
+   compressed registers. Only pairs whose estimate lies DEVIATIONS standard deviations below the threshold,
+   for the number of registers that sets of this size fill, are dropped on it (a chance of 1e-11 a pair);
+   all others are confirmed on the full sets: 100 * |intersection| >= 75 * |union|.
 5. Links become components by alternating large-star and small-star steps.
 
-At the threshold itself a pair meets in no band with chance (1 - 0.75**ROWS)**BANDS, about 1e-6.
+At the threshold itself a pair of full registers meets in no band with chance (1 - 0.75**ROWS)**BANDS,
+about 1e-6; sets of 90 to 400 shingles borrow some registers, which raises it (measured: see the README).
+Bands, tokens and components that very many members have are joined apart
+(:func:`pathlode.llm.common.spread_join`).
 
 Defined cases: a text without words (null, empty, white space) has an empty set and is linked with
 nothing; repeated rows belong to one component and each row is returned; a component's id is null only
-if all of its rows have none, and then all of them count as kept; an empty table gives no rows; other
-columns are ignored by :func:`near_duplicates` and kept by :func:`deduplicate`.
+if all of its rows have none, and then all of them count as kept; rows that tie in the smallest id are all
+kept by :func:`near_duplicates`, :func:`deduplicate` keeps the first of them in the table; a text is
+sketched whole by one task, in time that follows its length; an empty table gives no rows; other columns
+are ignored by :func:`near_duplicates` and kept by :func:`deduplicate`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlode.llm.common import materialize
+from pathlode.llm.common import materialize, spread_join
 from pathlode.llm.shingles import mix, shingle_set
 
 REGISTERS, ROWS, BANDS, MANTISSA = 256, 5, 51, 10
 #: Sets of at most SMALL shingles have true minima; sets from LARGE shingles on fill buckets.
 SMALL, LARGE = 86, 48
 PERCENT = 75
-#: Pairs whose estimate is under this are not confirmed: six standard deviations below 0.75 at 255 registers.
-LEAST_ESTIMATE = 0.58
+#: Pairs whose estimate lies so many standard deviations below PERCENT are not confirmed.
+DEVIATIONS = 7.0
 #: Members of one representative that are confirmed by one task.
 STAR_SHARE = 256
 _U = np.uint64
@@ -122,6 +129,16 @@ def estimate(a: bytes, b: bytes) -> float:
     return max(0.0, (equal - c) / (1 - c))
 
 
+def least_estimate(n: int) -> float:
+    """What the estimate of a similar pair of bucket forms does not fall below, for sets of ``n`` shingles.
+
+    Empty buckets borrow, so only the expected number of full ones counts as independent registers.
+    """
+    full = REGISTERS * -math.expm1(-n / REGISTERS)
+    p = PERCENT / 100
+    return p - DEVIATIONS * math.sqrt(p * (1 - p) / full)
+
+
 def band_hashes(sketched: bytes) -> np.ndarray:
     """A 64-bit number for each band of each form."""
     out = []
@@ -182,7 +199,7 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 center, own, own_sketch = (a, share), shingle_set(text), sketched
                 continue
             assert center == (a, share), "a member came before its representative"
-            if len(own) > SMALL and estimate(own_sketch, sketched) < LEAST_ESTIMATE:
+            if len(own) > SMALL and estimate(own_sketch, sketched) < least_estimate(len(own) * PERCENT // 100):
                 continue
             if similar(own, shingle_set(text)):
                 left.append(a)
@@ -232,9 +249,9 @@ def deal_stars(pairs: DataFrame, payload: DataFrame, columns: list[str]) -> Data
     dealt to many tasks.
     """
     shares = F.ceil(F.col("members") / STAR_SHARE).cast("int")
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", shares.alias("shares"))
+    sizes = materialize(pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", "members", shares.alias("shares")), "stars")
     centers = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"))
-    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b")
+    members = spread_join(pairs, sizes, ["a"], "members").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b")
     rows = centers.unionByName(members).withColumn("cid", F.coalesce("b", "a"))
     full = rows.join(payload.select("cid", *columns), "cid").select("a", "share", "b", *columns)
     return full.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
@@ -257,25 +274,30 @@ def across(stars: DataFrame, label: DataFrame, payload: DataFrame) -> DataFrame:
     """
     named = stars.join(label.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     heads = stars.select("a").distinct().join(label.select(F.col("node").alias("a"), F.col("label").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a"))
-    apart = named.join(heads, "a").groupBy("a").agg(F.count_if(F.col("label") != F.col("own")).alias("out"), F.count("*").alias("c")).where("out > 0 and c > 1").select("a")
-    active = materialize(named.join(apart, "a"), "apart")
+    apart = named.join(heads, "a").groupBy("a").agg(F.count_if(F.col("label") != F.col("own")).alias("out"), F.count("*").alias("c")).where("out > 0 and c > 1").select("a", "c")
+    active = materialize(spread_join(named, materialize(apart, "unsettled"), ["a"], "c").drop("c"), "apart")
     told = deal_stars(active.select("a", "b"), payload, ["text"]).mapInArrow(_difference_batches, "a long, b long, n long, size long, tokens array<long>")
     told = materialize(told.join(active, ["a", "b"]), "differences")
     each = told.select("a", "b", F.explode("tokens").alias("token"))
-    often = each.groupBy("a", "token").agg(F.count("*").alias("c")).where("c > 1")
-    listed = each.join(often, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    often = materialize(each.groupBy("a", "token").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    listed = spread_join(each, often, ["a", "token"], "c").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
     share = (100 - PERCENT) / (100 + PERCENT)
     # the partner's differences are at least 0, and its set is at most 4/3 as large
     longest = F.col("size") - F.greatest(F.lit(0.0), (F.col("size") - share * (1 + 100 / PERCENT) * F.col("n")) / 2) + 1
     alone = F.col("size") - F.size("t")
     rows = listed.join(told.drop("tokens"), ["a", "b"]).select("a", "b", "n", "size", "label", alone.alias("alone"), F.slice("t", F.lit(1), F.greatest(F.lit(0), F.floor(longest - alone).cast("int"))).alias("t"))
     index = materialize(rows.select("a", "b", "n", "size", "label", "alone", F.posexplode("t").alias("k", "x")).select("a", "b", "n", "size", "label", (F.col("alone") + F.col("k")).alias("pos"), "x.token"), "index")
-    small = index.select(*[F.col(c).alias(f"s_{c}") for c in ("a", "b", "n", "size", "label", "pos", "token")])
-    # in a pair, the smaller set of differences needs few: its partner's is no smaller
-    small = small.where(f"s_pos <= {share} * (1 + 100 / {PERCENT}) * s_n / 2 + 1")
+    # only changes that members of two components share matter; each pair of components has one that is not the largest
+    parts = index.groupBy("a", "token", "label").agg(F.count("*").alias("c"))
+    apart = parts.groupBy("a", "token").agg(F.max(F.struct("c", "label")).alias("big"), F.count("*").alias("labels"), F.sum("c").alias("c")).where("labels > 1")
+    apart = materialize(apart.select("a", "token", "c", F.col("big.label").alias("big")), "shared")
+    told = materialize(spread_join(index, apart, ["a", "token"], "c"), "told")
+    other = told.where("label <> big").select(*[F.col(c).alias(f"s_{c}") for c in ("a", "b", "n", "size", "label", "pos", "token", "big")])
     need = f"((size + s_size - {share} * (n + s_n)) / 2)"
-    met = index.join(small, (F.col("a") == F.col("s_a")) & (F.col("token") == F.col("s_token"))).where(
-        f"label <> s_label and (size > s_size or (size = s_size and b > s_b)) and {_near('n', 's_n')} and pos + {need} <= size + 0.001 and s_pos + {need} <= s_size + 0.001"
+    # in a pair, the smaller set of differences needs few: its partner's is no smaller
+    few = f"if(size < s_size or (size = s_size and b < s_b), pos <= {share} * (1 + 100 / {PERCENT}) * n / 2 + 1, s_pos <= {share} * (1 + 100 / {PERCENT}) * s_n / 2 + 1)"
+    met = told.join(other, (F.col("a") == F.col("s_a")) & (F.col("token") == F.col("s_token"))).where(
+        f"label <> s_label and (label = big or b > s_b) and {_near('n', 's_n')} and {few} and pos + {need} <= size + 0.001 and s_pos + {need} <= s_size + 0.001"
     )
     return met.select(F.least("b", "s_b").alias("a"), F.greatest("b", "s_b").alias("b")).distinct()
 
@@ -311,9 +333,9 @@ def _near(n: str, m: str) -> str:
 def links_of(sketched: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to give every component."""
     own = sketched.join(classes.select("cid"), sketched.rid == F.col("cid")).select("cid", "n_shingles", "sketch")
-    bands = own.mapInArrow(_band_batches, "cid long, band long")
-    shared = bands.groupBy("band").agg(F.count("*").alias("c"), F.min("cid").alias("a")).where("c > 1")
-    member = materialize(bands.join(shared, "band"), "bands")
+    bands = materialize(own.mapInArrow(_band_batches, "cid long, band long"), "bands")
+    shared = materialize(bands.groupBy("band").agg(F.count("*").alias("c"), F.min("cid").alias("a")).where("c > 1"), "shared")
+    member = materialize(spread_join(bands, shared, ["band"], "c"), "members")
     stars = member.where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
     # texts of candidates only; merged, not broadcast, so that the plan is the same at every size
     some = member.select("cid").distinct()
@@ -329,10 +351,11 @@ def links_of(sketched: DataFrame, classes: DataFrame) -> DataFrame:
     label = materialize(components(links), "labels")
     # then, in bands that are still apart, a member of the largest component, so that differences from it are small
     weight = label.groupBy("label").agg(F.count("*").alias("w"))
-    named = member.join(label.withColumnRenamed("node", "cid"), "cid", "left").join(weight, "label", "left").select("band", "cid", "c", F.coalesce("label", "cid").alias("label"), F.coalesce("w", F.lit(1)).alias("w"))
-    apart = named.where("c > 2").groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("w", (-F.col("cid")).alias("last"))).alias("h")).where("lo <> hi")
-    apart = apart.select("band", (-F.col("h.last")).alias("a"))
-    tight = materialize(named.select("band", F.col("cid").alias("b")).join(apart, "band").where("a <> b").select("a", "b").distinct(), "stars")
+    weighed = materialize(spread_join(label, materialize(weight, "weights"), ["label"], "w"), "weighed")
+    named = member.join(weighed.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", "c", F.coalesce("label", "cid").alias("label"), F.coalesce("w", F.lit(1)).alias("w"))
+    apart = named.where("c > 2").groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("w", (-F.col("cid")).alias("last"))).alias("h"), F.count("*").alias("c")).where("lo <> hi")
+    apart = materialize(apart.select("band", "c", (-F.col("h.last")).alias("a")), "apart")
+    tight = materialize(spread_join(member.select("band", F.col("cid").alias("b")), apart, ["band"], "c").where("a <> b").select("a", "b").distinct(), "stars")
     links = links.union(test(tight.join(stars, ["a", "b"], "left_anti")))
     label = materialize(components(links), "labels")
     return links.union(test(across(tight, label, payload)))
@@ -340,16 +363,16 @@ def links_of(sketched: DataFrame, classes: DataFrame) -> DataFrame:
 
 def resolve(sketched: DataFrame) -> DataFrame:
     """rid, doc_id, n_shingles, class_id, component (a rid) and component_id (a doc_id) of each row."""
-    classes = sketched.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id"))
+    classes = sketched.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id"), F.count("*").alias("c"))
     classes = materialize(classes, "classes")
     links = links_of(sketched, classes)
     label = components(links)
     joined = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("label", "cid"))
     lows = joined.where("label is not null").groupBy("component").agg(F.min("low_id").alias("low"))
     named = joined.join(lows, "component", "left").withColumn("component_id", F.coalesce("low", "low_id"))
-    named = materialize(named.select("k1", "k2", "n_shingles", "cid", "component", "component_id"), "named")
+    named = materialize(named.select("k1", "k2", "n_shingles", "cid", "component", "component_id", "c"), "named")
     rows = sketched.select("rid", "doc_id", "n_shingles", "k1", "k2")
-    out = rows.join(named.select("k1", "k2", "n_shingles", "cid", "component", "component_id"), ["k1", "k2", "n_shingles"], "left")
+    out = spread_join(rows, named, ["k1", "k2", "n_shingles"], "c", "left")
     return out.select("rid", "doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce("component", "rid").alias("component"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 HOT_KEYS = 4096
 
 _own_root: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
+#: Takes the scratch tables that are written, in a context that collects them.
+_collector: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("collector", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,27 +44,39 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back.
+    """Write ``df`` as Parquet into the application's folder in the shared scratch folder and read it back.
 
     The table survives lost executors and fixes whatever the plan above it would compute anew,
-    such as generated row ids.
+    such as generated row ids. Results are lazy, so it stays until :func:`drop_scratch` or
+    :func:`drop_all_scratch` is called.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    if (tables := _collector.get()) is not None:
+        tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder in the scratch folder."""
+    return f"{scratch_root(spark)}/pathlode-{spark.sparkContext.applicationId}"
+
+
 @contextlib.contextmanager
 def collected_scratch() -> Iterator[list[tuple[SparkSession, str]]]:
-    """Lists the scratch tables that are written inside."""
-    start, tables = len(_written), []
+    """Lists the scratch tables that this thread writes inside."""
+    tables: list[tuple[SparkSession, str]] = []
+    before = _collector.set(tables)
     try:
         yield tables
     finally:
-        tables += _written[start:]
-        del _written[start:]
+        _collector.reset(before)
+
+
+def drop_all_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of the application. Call it when no lazy result needs them any more."""
+    drop_scratch([(spark, scratch_folder(spark))])
 
 
 def drop_scratch(tables: list[tuple[SparkSession, str]]) -> None:

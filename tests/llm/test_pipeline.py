@@ -1,8 +1,11 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
-from pathlode.llm import mixing, near_dup, quality
-from pathlode.llm.common import materialize, scratch_root
+import pytest
+import xxhash
+from pathlode.llm import common, mixing, near_dup, quality, sharding
+from pathlode.llm.common import collected_scratch, drop_scratch, materialize, scratch_root, spread_join
 from pyspark.sql import functions as F
 
 from tests.llm.test_near_dup import brute
@@ -32,7 +35,17 @@ def test_run_against_brute_force(spark, tmp_path):
     kept = {c for _, _, c in brute(good)} - {200}
     assert found == kept
     counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
-    assert all(1 <= n <= 2 for n in counts.values())
+    # how often a document is read, and where it goes, computed from what is left
+    left = spark.createDataFrame([(d, t, s) for d, t, s in rows if d in kept], "doc_id long, text string, source string")
+    assert counts == {r.doc_id: r.copies for r in mixing.mixture(left).where("epoch = 1").collect()}
+    placed = {(r.doc_id, r.virtual_slot, r.shard) for r in got.collect()}
+    texts = {d: t for d, t, _ in rows}
+    sizes = [0] * sharding.SLOTS
+    for d, slot, _ in placed:
+        h = xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42)
+        assert slot == (h - (1 << 64) if h >> 63 else h) % sharding.SLOTS
+        sizes[slot] += counts[d] * (len(texts[d].encode()) + 1)
+    assert all(sharding.first_map(sizes).shard_of[slot] == shard for _, slot, shard in placed)
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
@@ -55,3 +68,43 @@ def test_scratch_tables_are_written_whole(spark):
     root = scratch_root(spark)
     table = materialize(spark.range(10).withColumn("r", F.monotonically_increasing_id()), "t")
     assert table.count() == 10 and root
+
+
+def test_scratch_goes_when_told(spark):
+    with collected_scratch() as tables:
+        materialize(spark.range(3), "t")
+        with collected_scratch() as inner:
+            materialize(spark.range(3), "t")
+    paths = [p.removeprefix("file://") for _, p in tables + inner]
+    assert len(tables) == len(inner) == 1 and all(Path(p).exists() for p in paths)
+    drop_scratch(tables + inner)
+    assert not any(Path(p).exists() for p in paths)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Elsewhere:
+        master = "spark://host:7077"
+        applicationId = "app"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext = Elsewhere()
+        conf = spark.conf
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            scratch_root(Session())
+
+
+def test_spread_join_against_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.range(1000).selectExpr("if(id % 2 = 0, 'hot', if(id % 7 = 0, null, concat('k', id % 97))) AS k", "id % 3 AS `odd.name`", "id")
+    lookup = materialize(rows.where("k is not null and k <> 'k5'").groupBy("k").count().withColumn("v", F.length("k")), "lookup")
+    for how in ("inner", "left"):
+        got = spread_join(rows, lookup, ["k"], "count", how)
+        want = rows.join(lookup, "k", how).select(*got.columns[:1], "`odd.name`", "id", "count", "v")
+        key = lambda r: tuple((x is None, x) for x in r)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert spread_join(rows, lookup.limit(0), ["k"], "count", "left").count() == 1000

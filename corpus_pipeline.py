@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 import functools
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pathlode.llm import decontam, mixing, near_dup, quality, sharding
-from pathlode.llm.common import collected_scratch, drop_scratch, scratch_root
-
+from pathlode.llm.common import collected_scratch, drop_scratch, scratch_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Scratch tables of the stage that ran last; its result has been written when the next stage begins.
-_scratch: list = []
+#: For each thread and input folder, the scratch tables of the stage that ran last.
+_scratch: dict[tuple[int, str], list] = {}
 
 
 def stage(function: Stage) -> Stage:
-    """A stage first drops the scratch tables of the one before it."""
+    """A stage first drops the scratch tables of the one before it, called by the same thread on the same
+    folder: that one's result has been written by then."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_scratch(_scratch)
+        own = (threading.get_ident(), sf_dir)
+        drop_scratch(_scratch.pop(own, []))
         with collected_scratch() as tables:
             out = function(spark, docs, sf_dir)
-        _scratch.extend(tables)
+        _scratch[own] = tables
         return out
 
     return run_stage
@@ -74,13 +76,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result but the last is written as Parquet and read again."""
+    """Apply the stages to ``documents``; each result but the last is written as Parquet and read again.
+
+    What a stage has read and its scratch tables go once its result is written; those of the last stage
+    stay, as its result is lazy.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{scratch_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    read = []
     for k, (name, step) in enumerate(STAGES):
-        out = step(spark, docs, sf_dir)
+        with collected_scratch() as tables:
+            out = step.__wrapped__(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
-            return out
+            break
         out.write.parquet(f"{base}/{k}_{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{k}_{name}")
-    return docs
+        drop_scratch(tables + read)
+        read = [(spark, f"{base}/{k}_{name}")]
+    return out

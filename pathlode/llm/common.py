@@ -99,11 +99,10 @@ def spread_join(rows: DataFrame, lookup: DataFrame, on: list[str], count: str, h
     ``count`` is a column of ``lookup``: the number of rows that have the key. Keys with at least one
     HOT_KEYS-th of all these rows are broadcast; there are at most HOT_KEYS of them, whatever the input.
     All others are shuffled, and none of them can fill a task. ``how`` is inner or left; null keys match
-    nothing. ``lookup`` is read twice, so it should be a written table.
+    nothing. ``lookup`` is read three times, so it should be a written table.
     """
     spare = [c for c in lookup.columns if c not in on]
-    total = lookup.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
-    is_hot = F.col(count) * HOT_KEYS >= F.lit(total)
+    is_hot = F.col(count) * HOT_KEYS >= lookup.agg(F.sum(count)).scalar()
     packed = lookup.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(on)], F.struct(*[F.col(f"`{c}`") for c in spare]).alias("__l"), is_hot.alias("__is_hot"))
     keys = [f"__{i}" for i in range(len(on))]
     left = rows.select(F.struct("*").alias("__r"), *[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(on)])

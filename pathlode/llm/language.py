@@ -1,9 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model for each language: lower-cased letters with their combining marks, every run of other
-characters one space. Order ORDER with absolute discounting; lower orders count the contexts in which a
+characters one space. Order ORDER (2 at least) with absolute discounting; lower orders count the contexts in which a
 character follows (continuation counts), as Kneser and Ney have it, down to a uniform distribution over
-all letters and marks of Unicode. An n-gram is a 64-bit hash of its code points, so no alphabet has to
+all code points. An n-gram is a 64-bit hash of its code points, so no alphabet has to
 fit anywhere. A language's model is a few sorted arrays of such hashes, for each order those of its
 n-grams (with their interpolated probabilities) and of its contexts (with their back-off weights); they
 are built by one task for each language and found by binary search.
@@ -46,25 +46,25 @@ from pathlode.llm.shingles import mix
 ORDER, DISCOUNT, MAX_ROWS = 4, 0.75, 2000
 UNKNOWN = "und"
 #: Characters of a text that are scored at a time, and texts whose n-grams are looked up together.
-PIECE, TOGETHER = 1 << 20, 64
+PIECE, TOGETHER = 1 << 20, 512
 #: Weight of the answers for a hidden language against the answers for all languages, in fitting the score.
 UNLISTED = 0.25
 _U = np.uint64
 _SPREAD = 0x9E3779B97F4A7C15
-_letter: np.ndarray | None = None
+#: Characters over which the lowest order is uniform: all code points.
+CODE_POINTS = 0x110000
+_UNSEEN = 255
+_kind = np.full(CODE_POINTS, _UNSEEN, dtype=np.uint8)
 
 
-def _letters() -> np.ndarray:
-    """For each code point: 2 for a letter, 1 for a combining mark, else 0."""
-    global _letter
-    if _letter is None:
-        _letter = np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), dtype=np.uint8, count=0x110000)
-    return _letter
-
-
-def alphabet_size() -> int:
-    """All letters and marks of Unicode, and the space."""
-    return int(np.count_nonzero(_letters())) + 1
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    """For each code: 2 for a letter, 1 for a combining mark, else 0; a process looks each code point up once."""
+    found = _kind[codes]
+    if (found == _UNSEEN).any():
+        for c in np.unique(codes[found == _UNSEEN]).tolist():
+            _kind[c] = {"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0)
+        found = _kind[codes]
+    return found
 
 
 def normal_codes(text: str | None) -> np.ndarray:
@@ -75,7 +75,7 @@ def normal_codes(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, dtype=np.uint32)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    kind = _letters()[codes]
+    kind = _kinds(codes)
     if not (kind == 2).any():
         return np.empty(0, dtype=np.uint32)
     letter = kind > 0
@@ -133,7 +133,7 @@ def fit_language(grams: np.ndarray, counts: np.ndarray, discount: float = DISCOU
         total, follow = np.bincount(back, weights=c), np.bincount(back)
         weights = discount * follow / total
         if n == 1:
-            lower = np.full(len(own), 1 / alphabet_size())
+            lower = np.full(len(own), 1 / CODE_POINTS)
         else:
             at, seen = _find(levels[-1].grams, keys_of(list(own[:, 1:].T)))
             assert seen.all()
@@ -147,7 +147,7 @@ def fit_language(grams: np.ndarray, counts: np.ndarray, discount: float = DISCOU
 def chances(levels: list[Level], columns: list[np.ndarray]) -> np.ndarray:
     """Probability of each n-gram's last character after the others; ``columns`` as for :func:`keys_of`."""
     order = len(levels)
-    out = np.full(len(columns[0]), 1 / alphabet_size())
+    out = np.full(len(columns[0]), 1 / CODE_POINTS)
     open_ = np.arange(len(columns[0]))
     # from the whole n-gram down: what is found has its interpolated chance, the rest backs off
     factor = np.ones(len(out))
@@ -164,7 +164,7 @@ def chances(levels: list[Level], columns: list[np.ndarray]) -> np.ndarray:
             factor[open_] *= np.where(known, level.weights[at], 1.0)
         else:
             factor[open_] *= level.weights[0]
-    out[open_] = factor[open_] / alphabet_size()
+    out[open_] = factor[open_] / CODE_POINTS
     return out
 
 
@@ -191,7 +191,7 @@ class Model:
             if not len(codes):
                 continue
             lengths[i] = len(codes) - 1
-            padded = np.r_[np.full(self.order - 2, 32, dtype=np.uint32), codes] if self.order > 1 else codes[1:]
+            padded = np.r_[np.full(self.order - 2, 32, dtype=np.uint32), codes]
             for at in range(0, lengths[i], PIECE):
                 held.append((i, padded[at : at + PIECE + self.order - 1]))
                 if sum(len(p) for _, p in held) >= PIECE:
@@ -244,16 +244,15 @@ class Model:
 
 def gram_counts(texts: Iterator[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Distinct character n-grams of whole texts (rows of code points), and their counts."""
-    grams, counts = np.empty((0, order), dtype=np.uint32), np.empty(0, dtype=np.int64)
+    padding = np.full(order - 2, 32, dtype=np.uint32)
+    columns: list[list[np.ndarray]] = [[] for _ in range(order)]
     for codes in map(normal_codes, texts):
-        if not len(codes):
-            continue
-        padded = np.r_[np.full(order - 2, 32, dtype=np.uint32), codes] if order > 1 else codes[1:]
-        own = np.stack([padded[k : len(padded) - order + 1 + k] for k in range(order)], axis=1)
-        _, first, many = np.unique(keys_of(list(own.T)), return_index=True, return_counts=True)
-        grams, counts = np.concatenate([grams, own[first]]), np.concatenate([counts, many])
-    _, first, back = np.unique(keys_of(list(grams.T)), return_index=True, return_inverse=True)
-    return grams[first], np.bincount(back, weights=counts, minlength=len(first)).astype(np.int64)
+        padded = np.r_[padding, codes] if len(codes) else codes
+        for k in range(order):
+            columns[k].append(padded[k : max(k, len(padded) - order + 1 + k)])
+    whole = [np.concatenate(c) if c else np.empty(0, dtype=np.uint32) for c in columns]
+    _, first, counts = np.unique(keys_of(whole), return_index=True, return_counts=True)
+    return np.stack([c[first] for c in whole], axis=1), counts
 
 
 def _count_batches(order: int):

@@ -67,7 +67,7 @@ def corpus_clusters(shapes: DataFrame, group: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Hint:
-    """Fields, by their last key, that are expected to depend on each other."""
+    """Fields (patterns like ``**/name``, or names) that are expected to depend on each other."""
 
     name: str
     fields: tuple[str, ...]
@@ -75,6 +75,62 @@ class Hint:
     weight: float
 
 
+def trailing_key(pattern: str) -> str:
+    """What has to equal the last key of a path; a star in it is an ordinary character."""
+    return pattern.rsplit("/", 1)[-1]
+
+
+# The expected relationships of each domain. Patterns are matched by their last key.
+HINTS = {
+    "medical": (
+        Hint("claim_service_line", ("**/procedure_code", "**/service_date", "**/charge_amount"), "co_occurrence", 0.9),
+        Hint("diagnosis_code_description", ("**/diagnosis_code", "**/diagnosis_description"), "code_description_pair", 0.85),
+        Hint("patient_subscriber", ("**/patient_*", "**/subscriber_*"), "co_occurrence", 0.8),
+        Hint("provider_npi_name", ("**/provider_npi", "**/provider_name"), "functional_dependency", 0.9),
+        Hint("adjudication", ("**/allowed_amount", "**/paid_amount", "**/adjustment_amount"), "co_occurrence", 0.85),
+        Hint("denial_reason", ("**/claim_status", "**/denial_reason"), "conditional_presence", 0.75),
+    ),
+    "security": (
+        Hint("network_flow", ("**/src_ip", "**/dst_ip", "**/src_port", "**/dst_port", "**/protocol"), "co_occurrence", 0.95),
+        Hint("alert_classification", ("**/tactic", "**/technique", "**/severity"), "co_occurrence", 0.9),
+        Hint("vulnerability_assessment", ("**/cve*", "**/cvss*", "**/affected_*"), "co_occurrence", 0.9),
+        Hint("authentication_event", ("**/user*", "**/source_ip", "**/auth_result"), "co_occurrence", 0.85),
+        Hint("process_execution", ("**/process_name", "**/pid", "**/command_line", "**/parent_pid"), "co_occurrence", 0.8),
+        Hint("dns_query", ("**/query_name", "**/query_type", "**/answer*"), "co_occurrence", 0.75),
+    ),
+    "devops": (
+        Hint("k8s_pod_spec", ("**/containers/*/image", "**/containers/*/resources", "**/containers/*/ports"), "co_occurrence", 0.95),
+        Hint("deployment_metadata", ("**/metadata/name", "**/metadata/namespace", "**/metadata/labels"), "co_occurrence", 0.9),
+        Hint("service_endpoint", ("**/spec/ports/*/port", "**/spec/ports/*/targetPort", "**/spec/ports/*/protocol"), "co_occurrence", 0.85),
+        Hint("terraform_resource_block", ("**/type", "**/provider", "**/instances/*/attributes"), "co_occurrence", 0.85),
+        Hint("ci_pipeline_stage", ("**/stages/*/name", "**/stages/*/status", "**/stages/*/duration"), "co_occurrence", 0.8),
+        Hint("container_spec", ("**/image", "**/command", "**/env", "**/volumeMounts"), "co_occurrence", 0.8),
+    ),
+    "github": (
+        Hint("review_network", ("**/reviewer", "**/pr_author", "**/review_state"), "co_occurrence", 0.9),
+        Hint("merge_gate", ("**/author", "**/state", "**/merged", "**/additions"), "co_occurrence", 0.85),
+        Hint("issue_triage", ("**/author", "**/labels", "**/state", "**/comment_count"), "co_occurrence", 0.85),
+        Hint("contributor_lifecycle", ("**/author", "**/created", "**/commits"), "functional_dependency", 0.8),
+        Hint("release_cadence", ("**/tag", "**/created", "**/isPrerelease"), "co_occurrence", 0.75),
+        Hint("pr_review_assignment", ("**/pr_author", "**/reviewer", "**/approval_rate"), "functional_dependency", 0.85),
+        Hint("commit_cascade", ("**/trigger_author", "**/response_author", "**/same_author", "**/file"), "co_occurrence", 0.8),
+    ),
+    "source": (
+        Hint("function_definition", ("**/function_definition/*/field", "**/function_item/*/field", "**/method_definition/*/field"), "co_occurrence", 0.95),
+        Hint("class_definition", ("**/class_definition/*/field", "**/struct_item/*/field", "**/class_declaration/*/field"), "co_occurrence", 0.9),
+        Hint("import_statement", ("**/import_statement/*/kind", "**/use_declaration/*/kind"), "co_occurrence", 0.85),
+        Hint("parameter_list", ("**/parameters/*/kind", "**/formal_parameters/*/kind"), "co_occurrence", 0.8),
+        Hint("conditional_block", ("**/if_expression/*/field", "**/if_statement/*/field"), "co_occurrence", 0.75),
+        Hint("loop_block", ("**/for_statement/*/field", "**/while_statement/*/field", "**/for_expression/*/field"), "co_occurrence", 0.75),
+    ),
+    "encoding": (
+        Hint("content_with_encoding", ("**/content_type", "**/content", "**/body"), "conditional_presence", 0.8),
+        Hint("transfer_encoding", ("**/transfer_encoding", "**/encoding", "**/data", "**/payload"), "co_occurrence", 0.75),
+        Hint("encoded_decoded_pair", ("**/*_encoded", "**/*_decoded", "**/*_base64", "**/*_raw"), "code_description_pair", 0.7),
+    ),
+}
+
+
 def evaluate_hints(hints: list[Hint], paths: DataFrame, relationships: DataFrame, least: float = 0.25) -> DataFrame:
     """name, relationship, weight, matched_fields, observed, max_strength of the hints that the data can test.
 
@@ -82,14 +138,15 @@ def evaluate_hints(hints: list[Hint], paths: DataFrame, relationships: DataFrame
     different ones of them is at least ``least`` strong.
     """
     spark = paths.sparkSession
-    rows = [(h.name, h.relationship, h.weight, f) for h in hints for f in h.fields]
-    asked = spark.createDataFrame(rows, "name string, relationship string, weight double, field string")
+    rows = [(h.name, h.relationship, h.weight, f, trailing_key(f)) for h in hints for f in h.fields]
+    asked = spark.createDataFrame(rows, "name string, relationship string, weight double, pattern string, field string")
     last = lambda c: F.element_at(F.split(c, "\\."), -1)
     present = asked.join(paths.select("path", last("path").alias("field")).distinct(), "field")
-    testable = present.groupBy("name", "relationship", "weight").agg(F.count_distinct("field").alias("k"), F.array_sort(F.collect_set("path")).alias("matched_fields")).where("k >= 2")
-    here = present.select("name", "field").distinct()
-    strong = relationships.select(last("field_x").alias("x"), last("field_y").alias("y"), "relationship_strength").where("x <> y")
-    spans = here.join(strong, F.col("field") == F.col("x")).select("name", "y", "relationship_strength").join(here.select(F.col("name").alias("n"), F.col("field").alias("f")), (F.col("name") == F.col("n")) & (F.col("y") == F.col("f")))
+    testable = present.groupBy("name", "relationship", "weight").agg(F.count_distinct("pattern").alias("k"), F.array_sort(F.collect_set("path")).alias("matched_fields")).where("k >= 2")
+    here = present.select("name", "pattern", "field").distinct()
+    strong = relationships.select(last("field_x").alias("x"), last("field_y").alias("y"), "relationship_strength")
+    other = here.select(F.col("name").alias("n"), F.col("field").alias("f"), F.col("pattern").alias("p"))
+    spans = here.join(strong, F.col("field") == F.col("x")).join(other, (F.col("name") == F.col("n")) & (F.col("y") == F.col("f")) & (F.col("pattern") != F.col("p")))
     best = spans.groupBy("name").agg(F.max("relationship_strength").alias("s"))
     found = testable.join(best, "name", "left").withColumn("max_strength", F.coalesce("s", F.lit(0.0)))
     return found.select("name", "relationship", "weight", "matched_fields", (F.col("max_strength") >= least).alias("observed"), "max_strength")

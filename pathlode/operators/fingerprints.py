@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -155,28 +157,39 @@ def lsh_pairs(signatures: DataFrame, document: str, bands: int = BANDS, hashes:
     return banded.withColumnRenamed("b", "a").join(banded, "band").where("a < b").select("a", "b").distinct()
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: checkpointed in the shared folder that the session names.
+
+    Only a local session without one gets a temporary folder; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pathlode-"))
+    return df.checkpoint()
+
+
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component (its smallest member) of all nodes of edges (a, b), by spreading the smallest label.
 
-    Each round is checkpointed in the session's checkpoint folder, if it has one.
+    Labels also jump to the label of their label, so the rounds are about the logarithm of the longest way;
+    each is checkpointed. Labels that have not settled after ``rounds`` are an error.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    safe = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    # each round reads the edges: they are made once
-    both = both.checkpoint() if safe else both.persist()
+    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     for _ in range(rounds):
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "component", F.least("component", "m").alias("now"))
         # pointer jumping: take the label of the label
         far = new.select(F.col("node").alias("n2"), F.col("now").alias("jump"))
-        new = new.join(far, F.col("now") == F.col("n2"), "left").select("node", "component", F.coalesce("jump", "now").alias("now"))
-        new = new.checkpoint() if safe else new.persist()
+        new = _cut(new.join(far, F.col("now") == F.col("n2"), "left").select("node", "component", F.coalesce("jump", "now").alias("now")))
         moved = new.where("now <> component").limit(1).count()
         labels = new.select("node", F.col("now").alias("component"))
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
 def clusters(documents: DataFrame, document: str, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlode.functions import information as info
+from pathlode.operators.fingerprints import connected
 
 
 class MissingField(ValueError):
@@ -95,10 +96,33 @@ def half_life(table: DataFrame, author: str, ts: str) -> DataFrame:
 
 
 # Mail providers whose domain says nothing about an employer.
-GENERIC_DOMAINS = frozenset(
-    "gmail.com googlemail.com yahoo.com hotmail.com outlook.com live.com msn.com icloud.com me.com mac.com aol.com protonmail.com proton.me pm.me "
-    "mail.com gmx.com gmx.de web.de qq.com 163.com 126.com yandex.ru users.noreply.github.com".split()
+GENERIC_DOMAINS = (
+    "gmail.com",
+    "yahoo.com",
+    "hotmail.com",
+    "outlook.com",
+    "live.com",
+    "icloud.com",
+    "me.com",
+    "mac.com",
+    "aol.com",
+    "protonmail.com",
+    "proton.me",
+    "users.noreply.github.com",
+    "mail.com",
+    "gmx.com",
+    "gmx.net",
+    "yandex.com",
+    "fastmail.com",
+    "hey.com",
+    "pm.me",
+    "qq.com",
+    "163.com",
+    "126.com",
+    "foxmail.com",
 )
+#: Shares of all months over which an author is there often, and under which seldom.
+OFTEN, SELDOM = 0.5, 0.2
 
 
 def normalise_email(email: Column) -> Column:
@@ -111,55 +135,85 @@ def email_domain(email: Column) -> Column:
 
 
 def is_generic_domain(domain: Column) -> Column:
-    return domain.isin(*sorted(GENERIC_DOMAINS))
+    return domain.isin(*GENERIC_DOMAINS)
 
 
-def is_bot(name: Column) -> Column:
-    """Names that automated authors bear."""
-    low = F.lower(name)
-    return low.endswith("[bot]") | low.endswith("-bot") | low.startswith("bot-") | low.isin("dependabot", "renovate", "github-actions", "web-flow", "greenkeeper", "codecov")
+def bot_reason(name: Column, email: Column) -> Column:
+    """Why an author is a bot, or null. Addresses count by marker or whole token, names by marker only."""
+    local = F.regexp_replace(F.substring_index(F.lower(F.coalesce(email, F.lit(""))), "@", 1), r"^[0-9]+\+", "")
+    return (
+        F.when(name.endswith("[bot]"), "bot_suffix")
+        .when(name.startswith("app/"), "bot_app_prefix")
+        .when(F.contains(local, F.lit("[bot]")), "bot_email_marker")
+        .when(local.rlike(r"^bot$|[-_.]bot$|^bot[-_.]"), "bot_email_local_part")
+    )
 
 
-def identities(table: DataFrame, name: str, email: str, rounds: int = 30) -> DataFrame:
+def identities(table: DataFrame, name: str, email: str) -> DataFrame:
     """name, email, identity, canonical: people joined by shared names or addresses.
 
-    ``canonical`` is the most frequent name of the component (ties: the smallest). Labels spread over
-    distinct (name, address) pairs until nothing changes.
+    Names and addresses are the nodes of a graph; its components are the identities, named by their
+    smallest name. ``canonical`` is the most frequent name of the component (ties: the smallest). An empty
+    address joins nobody.
     """
     pairs = table.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name"), F.coalesce(normalise_email(F.col(email)), F.lit("")).alias("email")).agg(F.count("*").alias("n"))
-    labels = pairs.withColumn("identity", F.col("name"))
-    for _ in range(rounds):
-        by_name = F.min("identity").over(Window.partitionBy("name"))
-        by_mail = F.when(F.col("email") != "", F.min("identity").over(Window.partitionBy("email"))).otherwise(F.col("identity"))
-        new = labels.withColumn("a", by_name).withColumn("b", by_mail).withColumn("now", F.least("a", "b"))
-        moved = new.where("now <> identity").limit(1).count()
-        labels = new.select("name", "email", "n", F.col("now").alias("identity"))
-        if not moved:
-            break
+    # the marks put every name before every address, so a component's smallest node is its smallest name
+    node = F.concat(F.lit("n"), F.col("name"))
+    found = connected(pairs.select(node.alias("a"), F.when(F.col("email") != "", F.concat(F.lit("o"), F.col("email"))).otherwise(node).alias("b")))
+    labels = pairs.join(found.select(F.col("node").alias("x"), F.substring("component", 2, 1 << 30).alias("identity")), node == F.col("x")).drop("x")
     totals = labels.groupBy("identity", "name").agg(F.sum("n").alias("n"))
     best = totals.groupBy("identity").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("canonical"))
     return labels.join(best, "identity").select("name", "email", "identity", "canonical")
 
 
-def core_team(table: DataFrame, author: str, ts: str, email: str | None = None, pareto: float = 0.8) -> DataFrame:
-    """author, n, months, bot, core_by_volume, role: core, regular, occasional or bot.
+def core_team(table: DataFrame, author: str, ts: str, email: str | None = None) -> DataFrame:
+    """author, email, n, months, role (bot, core, community), confidence (definite, dominant, heuristic), reason.
 
-    Core authors make up the first 80 % of the work and are active in more than half of the months; those in
-    fewer than a fifth are occasional.
+    Three signals make an author core, beside the markers of bots: the address is of the domain (no mail
+    provider) that more than half of the work comes from; the author is among those who make up the first
+    80 % of the work (ties by name and address); the latter does not hold for authors seen in less than a
+    fifth of the months, and weighs more for those seen in more than half of them.
     """
-    need(table, author, ts)
-    rows = table.where(F.col(author).isNotNull())
-    counts = rows.groupBy(F.col(author).alias("author")).agg(F.count("*").alias("n"), F.count_distinct(F.date_format(ts, "yyyy-MM")).alias("months"))
-    all_months = rows.agg(F.count_distinct(F.date_format(ts, "yyyy-MM")).alias("m")).scalar()
-    # the smallest count of those who make up the share, from the distinct counts
-    tiers = counts.where(~is_bot(F.col("author"))).groupBy("n").agg(F.count("*").alias("authors"))
+    need(table, author, ts, *([email] if email else []))
+    mail = F.coalesce(F.col(email).cast("string"), F.lit("")) if email else F.lit("")
+    who = F.coalesce(F.col(author).cast("string"), F.lit(""))
+    rows = table.select(who.alias("author"), mail.alias("email"), F.date_format(ts, "yyyy-MM").alias("month")).where("author <> '' or email <> ''")
+    counts = rows.groupBy("author", "email").agg(F.count("*").alias("n"), F.count_distinct("month").alias("months"))
+    counts = counts.withColumn("bot", bot_reason(F.col("author"), F.col("email"))).withColumn("domain", email_domain(F.col("email")))
+    people = counts.where("bot is null")
+    # the largest domain; of equal ones the last by name
+    domains = people.where(F.col("domain").isNotNull() & ~is_generic_domain(F.col("domain"))).groupBy("domain").agg(F.sum("n").alias("c"))
+    leading = domains.agg(F.max(F.struct("c", "domain")).alias("top"))
+    # running sums over distinct counts; only the tier in which the share is reached is put in order
+    tiers = people.groupBy("n").agg(F.count("*").alias("authors"))
     above = F.coalesce(F.sum(F.col("n") * F.col("authors")).over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    least = tiers.select("n", above.alias("above"), F.sum(F.col("n") * F.col("authors")).over(Window.partitionBy()).alias("total")).where(F.col("above") < F.col("total") * pareto).agg(F.min("n")).scalar()
-    share = F.col("months") / F.col("all_months")
-    role = (
-        F.when(F.col("bot"), "bot").when(F.col("core_by_volume") & (share > 0.5), "core").when(share < 0.2, "occasional").otherwise("regular")
+    goal = F.ceil(F.sum(F.col("n") * F.col("authors")).over(Window.partitionBy()) * 4 / 5)
+    edge = tiers.select("n", (goal - above).alias("missing")).where("missing > 0").agg(F.min(F.struct("n", "missing")).alias("edge"))
+    months = rows.agg(F.count_distinct("month").alias("all_months"))
+    total = people.agg(F.sum("n").alias("total"))
+    facts = leading.crossJoin(edge).crossJoin(months).crossJoin(total)  # one row
+    told = counts.crossJoin(F.broadcast(facts))
+    place = F.row_number().over(Window.partitionBy("n").orderBy(F.concat("author", F.lit(" <"), "email", F.lit(">"))))
+    on_edge = told.where("bot is null and n = edge.n").select(F.col("author").alias("a"), F.col("email").alias("e"), ((place - 1) * F.col("n") < F.col("edge.missing")).alias("first"))
+    told = told.join(on_edge, (F.col("author") == F.col("a")) & (F.col("email") == F.col("e")), "left")
+    by_domain = F.coalesce((F.col("domain") == F.col("top.domain")) & (F.col("top.c") * 2 > F.col("total")), F.lit(False))
+    by_volume = F.coalesce((F.col("n") > F.col("edge.n")) | F.col("first"), F.lit(False))
+    often = F.col("months") > F.col("all_months") * OFTEN
+    seldom = F.col("months") < F.col("all_months") * SELDOM
+    by_mail = F.concat(F.lit("email_domain:"), F.col("domain"))
+    bot = F.col("bot").isNotNull()
+    role = F.when(bot, "bot").when(by_domain | (by_volume & ~seldom), "core").otherwise("community")
+    confidence = F.when(bot, F.when(F.col("bot") == "bot_email_local_part", "dominant").otherwise("definite")).when(by_domain | (by_volume & often), "dominant").otherwise("heuristic")
+    reason = (
+        F.when(bot, F.col("bot"))
+        .when(by_domain & by_volume, F.concat(by_mail, F.lit("+pareto_80pct")))
+        .when(by_domain, by_mail)
+        .when(by_volume & seldom, "pareto_80pct+temporal_sporadic")
+        .when(by_volume & often, "pareto_80pct+temporal_consistent")
+        .when(by_volume, "pareto_80pct")
+        .otherwise("community_default")
     )
-    return counts.select("*", is_bot(F.col("author")).alias("bot"), (F.col("n") >= least).alias("core_by_volume"), all_months.alias("all_months")).withColumn("role", role).drop("all_months")
+    return told.select("author", "email", "n", "months", role.alias("role"), confidence.alias("confidence"), reason.alias("reason"))
 
 
 # Grade ladders. (limit, grade) pairs are tried in order; the last grade is for the rest.

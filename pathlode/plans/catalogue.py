@@ -176,22 +176,40 @@ def _two_shapes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return left, right
 
 
-@register("SELECT * FROM (VALUES ('$[*]', 'shared'), ('$[*].user_id', 'shared'), ('$[*].event_type', 'shared'), ('$[*].value', 'removed'), ('$[*].props', 'added')) t(path, status)")
+# the paths and types of both node tables, read from the tables
+_SHAPES = """l AS (SELECT '$[*]' AS path, 'object' AS type, count(*) AS c FROM events UNION ALL SELECT '$[*].user_id', CASE typeof(max(user_id)) WHEN 'VARCHAR' THEN 'string' ELSE 'integer' END, count(user_id) FROM events
+        UNION ALL SELECT '$[*].event_type', 'string', count(event_type) FROM events UNION ALL SELECT '$[*].value', 'float', count(value) FROM events),
+    r AS (SELECT '$[*]' AS path, 'object' AS type, count(*) AS c FROM events UNION ALL SELECT '$[*].user_id', CASE typeof(max(user_id::VARCHAR)) WHEN 'VARCHAR' THEN 'string' ELSE 'integer' END, count(user_id) FROM events
+        UNION ALL SELECT '$[*].event_type', 'string', count(event_type) FROM events UNION ALL SELECT '$[*].props', 'string', count(props) FROM events),
+    d AS (SELECT coalesce(l.path, r.path) AS path, CASE WHEN l.path IS NULL THEN 'added' WHEN r.path IS NULL THEN 'removed' ELSE 'shared' END AS status, l.type AS from_type, r.type AS to_type
+          FROM (SELECT * FROM l WHERE c > 0) l FULL JOIN (SELECT * FROM r WHERE c > 0) r ON l.path = r.path)"""
+
+
+@register(f"WITH {_SHAPES} SELECT path, status FROM d")
 def path_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.path_diff(*_two_shapes(spark, sf_dir))
 
 
-@register("SELECT 3::BIGINT AS shared, 5::BIGINT AS total, 0.6::DOUBLE AS jaccard")
+@register(f"WITH {_SHAPES} SELECT count(*) FILTER (status = 'shared') AS shared, count(*) AS total, round(count(*) FILTER (status = 'shared') / count(*), 6) AS jaccard FROM d")
 def path_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drift.jaccard_of_paths(drift.path_diff(*_two_shapes(spark, sf_dir))))
 
 
-@register("SELECT '$[*].user_id' AS path, 'integer' AS from_type, 'string' AS to_type")
+@register(f"WITH {_SHAPES} SELECT path, from_type, to_type FROM d WHERE status = 'shared' AND from_type <> to_type")
 def type_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.type_changes(*_two_shapes(spark, sf_dir))
 
 
-@register()
+@register(
+    f"""WITH {_SHAPES}, n AS (SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'shared') AS shared,
+            count(*) FILTER (status = 'shared' AND from_type <> to_type) AS changed, count(*) AS total FROM d),
+        u AS (SELECT 'user_id' AS f, user_id::VARCHAR AS v, count(*) AS a, count(*) AS b FROM events GROUP BY ALL UNION ALL SELECT 'event_type', event_type, count(*), count(*) FROM events GROUP BY ALL),
+        j AS (SELECT f, a / sum(a) OVER (PARTITION BY f) AS p, b / sum(b) OVER (PARTITION BY f) AS q FROM u),
+        s AS (SELECT f, greatest(0, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2) AS jsd FROM j GROUP BY f),
+        m AS (SELECT coalesce(max(jsd) FILTER (jsd > {drift.JSD_CUT}), 0.0) AS max_jsd, 0.0 AS max_wasserstein FROM s)
+        SELECT added, removed, shared, changed, round(shared / total, 6) AS structural_similarity, round(max_jsd, 6) + 0.0 AS max_jsd, round(max_wasserstein, 6)::DOUBLE + 0.0 AS max_wasserstein,
+               CASE WHEN removed > 0 THEN 'critical' WHEN changed > 0 OR max_jsd > {drift.JSD_MAJOR} THEN 'high' WHEN added > 0 THEN 'medium' WHEN max_jsd > {drift.JSD_CUT} THEN 'low' ELSE 'none' END AS severity FROM n, m"""
+)
 def full_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(drift.full_drift(*_two_shapes(spark, sf_dir)))
 
@@ -456,24 +474,78 @@ def half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(governance.half_life(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate"))
 
 
+# authors of orders: most by a company's addresses, some by providers', some bots by name, marker or address
+_AUTHORS = """(SELECT CASE WHEN k % 40 = 7 THEN 'b' || k || '[bot]' WHEN k % 40 = 9 THEN 'app/' || k ELSE 'c' || k END AS author,
+    CASE WHEN k % 40 = 11 THEN k || '+x[bot]@users.noreply.github.com' WHEN k % 40 = 13 THEN 'build-bot@other.example' WHEN k % 40 = 15 THEN 'talbot' || k || '@gmail.com'
+         WHEN k % 4 = 0 THEN 'c' || k || '@GMX.net' WHEN k % 5 = 1 THEN '' ELSE 'c' || k || '@corp.example' END AS email, strftime(o_orderdate, '%Y-%m') AS mth
+    FROM (SELECT o_custkey AS k, o_orderdate FROM orders))"""
+
+
+def _authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    k, text = F.col("o_custkey"), F.col("o_custkey").cast("string")
+    name = F.when(k % 40 == 7, F.concat(F.lit("b"), text, F.lit("[bot]"))).when(k % 40 == 9, F.concat(F.lit("app/"), text)).otherwise(F.concat(F.lit("c"), text))
+    mail = (
+        F.when(k % 40 == 11, F.concat(text, F.lit("+x[bot]@users.noreply.github.com")))
+        .when(k % 40 == 13, "build-bot@other.example")
+        .when(k % 40 == 15, F.concat(F.lit("talbot"), text, F.lit("@gmail.com")))
+        .when(k % 4 == 0, F.concat(F.lit("c"), text, F.lit("@GMX.net")))
+        .when(k % 5 == 1, "")
+        .otherwise(F.concat(F.lit("c"), text, F.lit("@corp.example")))
+    )
+    return orders.select(name.alias("author"), mail.alias("email"), "o_orderdate")
+
+
 @register(
-    """WITH c AS (SELECT o_custkey::VARCHAR AS author, count(*) AS n, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS months FROM orders GROUP BY ALL), m AS (SELECT count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS m FROM orders),
-       t AS (SELECT n, sum(n) AS s FROM c GROUP BY n), u AS (SELECT n, sum(s) OVER (ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above, sum(s) OVER () AS total FROM t),
-       l AS (SELECT min(n) AS least FROM u WHERE coalesce(above, 0) < total * 0.8)
-       SELECT author, n, months, false AS bot, n >= least AS core_by_volume, CASE WHEN n >= least AND months / m > 0.5 THEN 'core' WHEN months / m < 0.2 THEN 'occasional' ELSE 'regular' END AS role FROM c, m, l"""
+    f"""WITH c AS (SELECT author, email, count(*) AS n, count(DISTINCT mth) AS months FROM {_AUTHORS} GROUP BY ALL), m AS (SELECT count(DISTINCT mth) AS m FROM {_AUTHORS}),
+       l AS (SELECT *, regexp_replace(split_part(lower(email), '@', 1), '^[0-9]+\\+', '') AS loc, CASE WHEN email LIKE '%@%' THEN lower(split_part(email, '@', -1)) END AS domain FROM c),
+       b AS (SELECT *, CASE WHEN author LIKE '%[bot]' THEN 'bot_suffix' WHEN author LIKE 'app/%' THEN 'bot_app_prefix' WHEN loc LIKE '%[bot]%' THEN 'bot_email_marker'
+                       WHEN loc = 'bot' OR ends_with(loc, '-bot') OR ends_with(loc, '_bot') OR ends_with(loc, '.bot') OR starts_with(loc, 'bot-') OR starts_with(loc, 'bot_') OR starts_with(loc, 'bot.') THEN 'bot_email_local_part' END AS bot FROM l),
+       p AS (SELECT author, email, (sum(n) OVER (ORDER BY n DESC, author || ' <' || email || '>' ROWS UNBOUNDED PRECEDING) - n) * 5 < sum(n) OVER () * 4 AS vol FROM b WHERE bot IS NULL),
+       d AS (SELECT domain, sum(n) AS s, (SELECT sum(n) FROM b WHERE bot IS NULL) AS t FROM b WHERE bot IS NULL AND domain IS NOT NULL
+             AND domain NOT IN ({', '.join(f"'{x}'" for x in governance.GENERIC_DOMAINS)}) GROUP BY domain ORDER BY s DESC, domain DESC LIMIT 1),
+       x AS (SELECT b.*, coalesce(vol, false) AS vol, coalesce(b.domain = d.domain AND d.s * 2 > d.t, false) AS dom, months * 2 > m AS often, months * 5 < m AS seldom FROM b LEFT JOIN p USING (author, email) LEFT JOIN d ON true, m)
+       SELECT author, email, n, months, CASE WHEN bot IS NOT NULL THEN 'bot' WHEN dom OR (vol AND NOT seldom) THEN 'core' ELSE 'community' END AS role,
+              CASE WHEN bot = 'bot_email_local_part' THEN 'dominant' WHEN bot IS NOT NULL THEN 'definite' WHEN dom OR (vol AND often) THEN 'dominant' ELSE 'heuristic' END AS confidence,
+              CASE WHEN bot IS NOT NULL THEN bot WHEN dom THEN 'email_domain:' || domain || CASE WHEN vol THEN '+pareto_80pct' ELSE '' END
+                   WHEN vol THEN 'pareto_80pct' || CASE WHEN seldom THEN '+temporal_sporadic' WHEN often THEN '+temporal_consistent' ELSE '' END ELSE 'community_default' END AS reason FROM x"""
 )
 def core_team(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.core_team(read(spark, sf_dir, "orders").withColumn("author", F.col("o_custkey").cast("string")), "author", "o_orderdate")
+    return governance.core_team(_authors(spark, sf_dir), "author", "o_orderdate", "email")
 
 
-@register()
+def _sql_grade(metric: str, value: str) -> str:
+    sign, steps = governance.LADDERS[metric]
+    return f"CASE WHEN {value} IS NULL THEN NULL " + " ".join(f"WHEN {value} {sign} {limit} THEN '{g}'" for limit, g in steps) + " ELSE 'F' END"
+
+
+_SQL_POINTS = "CASE {g} " + " ".join(f"WHEN '{g}' THEN {p}" for g, p in governance.POINTS.items()) + " END"
+_HEALTH_METRICS = ("top1_share", "commit_entropy", "one_commit_rate")
+_GRADED = {n: (w, m) for n, (w, m) in governance.DIMENSIONS.items() if m in _HEALTH_METRICS}
+
+
+@register(
+    f"""WITH c AS (SELECT count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey), t AS (SELECT sum(n) AS t FROM c),
+       m AS (SELECT max(n) / max(t) AS top1_share, -sum(n / t * log2(n / t)) AS commit_entropy, count(*) FILTER (n = 1) / count(*) AS one_commit_rate FROM c, t),
+       g AS (SELECT *, {', '.join(f"{_sql_grade(m, m) if n in _GRADED else 'NULL::VARCHAR'} AS grade_{n}" for n, (_, m) in governance.DIMENSIONS.items())} FROM m),
+       s AS (SELECT *, ({' + '.join(f"{w} * {_SQL_POINTS.format(g=f'grade_{n}')}" for n, (w, _) in _GRADED.items())})::DOUBLE / {sum(w for w, _ in _GRADED.values())} AS score FROM g)
+       SELECT * EXCLUDE (score, top1_share, commit_entropy, one_commit_rate), round(top1_share, 6) AS top1_share, round(commit_entropy, 6) AS commit_entropy, round(one_commit_rate, 6) AS one_commit_rate,
+              round(score, 6) AS score, CASE {' '.join(f"WHEN score >= {limit} THEN '{g}'" for limit, g in governance.LETTERS)} ELSE 'F' END AS overall_grade FROM s"""
+)
 def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = governance.concentration(governance.author_counts(read(spark, sf_dir, "orders"), "o_custkey"))
     metrics = report.select("top1_share", F.col("author_entropy").alias("commit_entropy"), "one_commit_rate")
     return rounded(governance.health(metrics))
 
 
-@register()
+@register(
+    """WITH RECURSIVE p AS (SELECT 'u' || (user_id % 50) AS name, 'm' || (user_id % 75) || '@example.org' AS email, count(*) AS n FROM events GROUP BY ALL),
+       r AS (SELECT name AS a, name AS b FROM p UNION SELECT r.a, q.name FROM r JOIN p o ON o.name = r.b JOIN p q ON q.email = o.email),
+       l AS (SELECT a AS name, min(b) AS identity FROM r GROUP BY a),
+       t AS (SELECT identity, name, sum(n) AS n FROM p JOIN l USING (name) GROUP BY ALL),
+       f AS (SELECT identity, name AS canonical FROM t QUALIFY row_number() OVER (PARTITION BY identity ORDER BY n DESC, name) = 1)
+       SELECT name, email, identity, canonical FROM p JOIN l USING (name) JOIN f USING (identity)"""
+)
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     people = events.select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("name"), F.concat(F.lit("12345+m"), (F.col("user_id") % 75).cast("string"), F.lit("@Example.org")).alias("email"))
@@ -481,9 +553,9 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT sha256('$' || chr(1) || string_agg('$.' || k, chr(1) ORDER BY k)) AS path_set, count(*) AS documents FROM
-       (SELECT event_id, unnest(json_keys(props)) AS k FROM events) GROUP BY event_id HAVING false
-       UNION ALL SELECT sha256('$' || chr(1) || '$.k'), count(*) FROM events"""
+    """WITH k AS (SELECT event_id, unnest(json_keys(props)) AS k FROM events),
+       s AS (SELECT e.event_id, '$' || coalesce((SELECT string_agg(chr(1) || '$.' || k, '' ORDER BY k) FROM k WHERE k.event_id = e.event_id), '') AS t FROM events e)
+       SELECT sha256(t) AS path_set, count(*) AS documents FROM s GROUP BY t"""
 )
 def shape_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = json_nodes(read(spark, sf_dir, "events").select("event_id", "props"), "event_id", "props")
@@ -496,7 +568,11 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nodes.groupBy("path", "type").agg(F.count("*").alias("count"), F.sum("num").alias("total")))
 
 
-@register("SELECT path, n AS documents, true AS common, false AS rare FROM (SELECT count(*) AS n FROM events), (VALUES ('$'), ('$.k')) t(path)")
+@register(
+    """WITH k AS (SELECT event_id, '$.' || unnest(json_keys(props)) AS path FROM events UNION ALL SELECT event_id, '$' FROM events), n AS (SELECT count(DISTINCT event_id) AS n FROM k)
+       SELECT path, count(DISTINCT event_id) AS documents, count(DISTINCT event_id) >= ceil(max(n) * 0.5) AS common,
+              CASE WHEN max(n) <= 10 THEN count(DISTINCT event_id) < 2 ELSE count(DISTINCT event_id) < ceil(max(n) * 0.1) END AS rare FROM k, n GROUP BY path"""
+)
 def batch_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.batch_aggregate(json_nodes(read(spark, sf_dir, "events").select("event_id", "props"), "event_id", "props"))
 
@@ -543,18 +619,19 @@ def ncd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sizes.select("a", "b", complexity.ncd(F.col("sx"), F.col("sy"), F.col("sxy")).alias("ncd")))
 
 
-_SECURITY = [(n, p) for g, n, _, p in recognizers.RECOGNIZERS if g in ("security", "package")]
 _WORDS = "SELECT unnest(string_split_regex(text, '[ \\n]+')) AS w FROM documents"
 
 
 @register(
-    "SELECT semantic_type, count(*) AS n FROM (SELECT CASE "
-    + " ".join(f"WHEN regexp_matches(w, '{p}') THEN '{n}'" for n, p in _SECURITY)
-    + f" END AS semantic_type FROM ({_WORDS})) WHERE semantic_type IS NOT NULL GROUP BY ALL"
+    "WITH d AS (SELECT w, count(*) AS c FROM (" + _WORDS + ") GROUP BY w) SELECT semantic_type, sum(c)::BIGINT AS n FROM (SELECT c, CASE "
+    + " ".join(f"WHEN regexp_matches(w, '{p}') THEN '{n}'" for g, n, _, p in recognizers.RECOGNIZERS if g != "encoding")
+    + " END AS semantic_type FROM d) WHERE semantic_type IS NOT NULL GROUP BY ALL"
 )
 def recognized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w"))
-    return words.select(recognizers.recognize(F.col("w"), ("security", "package")).alias("semantic_type")).where("semantic_type is not null").groupBy("semantic_type").agg(F.count("*").alias("n"))
+    """What the first recognizer of six groups makes of each word, counted before it is tested; ``recognized_groups`` has the seventh too, which decodes."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    every = tuple(dict.fromkeys(g for g, _, _, _ in recognizers.RECOGNIZERS if g != "encoding"))
+    return words.select("c", recognizers.recognize(F.col("w"), every).alias("semantic_type")).where("semantic_type is not null").groupBy("semantic_type").agg(F.sum("c").alias("n"))
 
 
 @register()
@@ -567,38 +644,47 @@ def recognized_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.groupBy("f.domain", "f.semantic_type").agg(F.sum("c").alias("n"))
 
 
-_FIRST_RULES = redaction.RULES[:3]
+_RULES = dict(redaction.RULES)
+
+
+def _sql_plain(rule: str) -> str:
+    return f"WHEN regexp_matches(text, '{_RULES[rule]}') THEN regexp_replace(text, '{_RULES[rule]}', '[{rule}]', 'g')"
+
+
+# the digits of a card from the last on, each second one doubled, have a sum that ten divides
+_SQL_LUHN = """list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(d)[i]::INT
+    ELSE 2 * reverse(d)[i]::INT - CASE WHEN reverse(d)[i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
 
 
 @register(
-    "WITH d AS (SELECT doc_id, CASE "
-    + " ".join(f"WHEN regexp_matches(text, '{p}') THEN regexp_replace(text, '{p}', '[{n}]', 'g')" for n, p in _FIRST_RULES)
-    + " END AS redacted FROM documents) SELECT doc_id, md5(redacted) AS digest FROM d WHERE redacted IS NOT NULL"
+    f"""WITH m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_RULES["CREDIT_CARD"]}', 1)) AS card FROM documents),
+        v AS (SELECT doc_id, card FROM (SELECT doc_id, card, regexp_replace(card, '[^0-9]', '', 'g') AS d FROM m) WHERE len(d) BETWEEN 13 AND 19 AND {_SQL_LUHN}),
+        k AS (SELECT doc_id, list(card ORDER BY len(card) DESC, card) AS cards FROM v GROUP BY doc_id),
+        d AS (SELECT doc_id, text, CASE {" ".join(_sql_plain(n) for n in ("SSN", "EMAIL", "PHONE"))}
+                 WHEN cards IS NOT NULL THEN list_reduce(list_concat([text], cards), lambda t, c: replace(t, c, '[CREDIT_CARD]'))
+                 {_sql_plain("DATE_OF_BIRTH").replace("WHEN ", "WHEN dob AND ")} ELSE text END AS redacted FROM (SELECT doc_id, text, doc_id % 2 = 0 AS dob FROM documents) LEFT JOIN k USING (doc_id))
+        SELECT doc_id, md5(redacted) AS digest FROM d WHERE redacted <> text"""
 )
 def redaction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = F.lit(False)
-    for _, p in _FIRST_RULES:
-        found = found | F.col("text").rlike(p)
-    return docs.where(found).select("doc_id", F.md5(redaction.redact(F.col("text"))).alias("digest"))
-
-
-@register()
-def redaction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", redaction.redact(F.col("text")).alias("redacted")).join(docs.select("doc_id", "text"), "doc_id").where("redacted <> text").select("doc_id", F.md5("redacted").alias("digest"))
+    """All five rules; every other document stands under a key that speaks of a birth."""
+    key = F.when(F.col("doc_id") % 2 == 0, "birthday").otherwise("text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", redaction.redact(F.col("text"), key).alias("redacted"))
+    return docs.where("redacted <> text").select("doc_id", F.md5("redacted").alias("digest"))
 
 
 @register(
     """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL)
        SELECT 'entropy' AS query, '$[*].event_type' AS path, round(-sum(n / t * log2(n / t)), 6) AS value FROM c, (SELECT count(*) AS t FROM events) GROUP BY ALL
+       UNION ALL SELECT 'rarity', '$[*].event_type', round(-log2(min(n) / (SELECT count(*) FROM events)), 6) FROM c
+       UNION ALL SELECT 'null_rate', '$[*].value', round(1 - count(value) / count(*), 6) FROM events
+       UNION ALL SELECT 'instability', '$[*].value', round(1 - greatest(count(value), count(*) - count(value)) / count(*), 6) FROM events
        UNION ALL SELECT 'cardinality', '$[*].user_id', count(DISTINCT user_id)::DOUBLE FROM events
        UNION ALL SELECT 'count', '$[*].value', count(*)::DOUBLE FROM events UNION ALL SELECT 'depth', '$[*].value', 2.0
        UNION ALL SELECT 'paths', p, count(*)::DOUBLE FROM events, (VALUES ('$[*]'), ('$[*].event_type'), ('$[*].user_id'), ('$[*].value')) t(p) GROUP BY p"""
 )
 def query_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table_nodes(read(spark, sf_dir, "events").select("event_type", "user_id", "value"))
-    asked = {"entropy": "entropy($[*].event_type)", "cardinality": "cardinality($[*].user_id) > 1", "count": "count($[*].value)", "depth": "depth($.**.value) == 2", "paths": "$.** > 0"}
+    asked = {"rarity": "rarity($[*].event_type) > 0", "null_rate": "null_rate($[*].value) <= 1", "instability": "instability($[*].value) >= 0", "entropy": "entropy($[*].event_type)", "cardinality": "cardinality($[*].user_id) > 1", "count": "count($[*].value)", "depth": "depth($.**.value) == 2", "paths": "$.** > 0"}
     out = None
     for name, text in asked.items():
         one = query.run(nodes, text).select(F.lit(name).alias("query"), "path", "value")
@@ -641,7 +727,18 @@ def essence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(essence.score(found, essence.profile("engineer")))
 
 
-@register()
+_COMPARE = """SELECT o_orderstatus AS dataset, max(t)::BIGINT AS total_items, max(people) AS unique_authors, min(k) FILTER (upto >= ceil(t * 0.5)) AS bus_factor_50, min(k) FILTER (upto >= ceil(t * 0.8)) AS bus_factor_80,
+              round(-sum(n / t * log2(n / t)), 6) AS author_entropy, round(2 * sum(i * n) / (max(people) * max(t)) - (max(people) + 1) / max(people), 6) AS gini_coefficient,
+              round(sum(n) FILTER (k <= 1) / max(t), 6) AS top1_share, round(sum(n) FILTER (k <= 3) / max(t), 6) AS top3_share, round(sum(n) FILTER (k <= 5) / max(t), 6) AS top5_share,
+              round(count(*) FILTER (n = 1) / max(people), 6) AS one_commit_rate, max(months) AS months FROM r JOIN m USING (o_orderstatus) GROUP BY o_orderstatus"""
+
+
+@register(
+    """WITH c AS (SELECT o_orderstatus, o_custkey AS a, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY ALL), m AS (SELECT o_orderstatus, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS months FROM orders GROUP BY ALL),
+       r AS (SELECT o_orderstatus, a, n, row_number() OVER (w ORDER BY n DESC, a) AS k, sum(n) OVER (w ORDER BY n DESC, a ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (w ORDER BY n, a) AS i,
+                    sum(n) OVER (w) AS t, count(*) OVER (w) AS people FROM c WINDOW w AS (PARTITION BY o_orderstatus)) """
+    + _COMPARE
+)
 def dataset_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     parts = {s: orders.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")}
@@ -655,14 +752,47 @@ def dataset_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.pairwise_drift(parts))
 
 
-@register()
+_HINTS = (("status_of_line", ("l_returnflag", "l_linestatus"), 0.9), ("number_of_line", ("l_linenumber", "l_linestatus"), 0.5), ("absent", ("l_linenumber", "nowhere"), 0.5))
+
+
+@register(
+    f"""WITH h AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {w}::DOUBLE, '{f}')" for n, fs, w in _HINTS for f in fs)}) t(name, weight, field)),
+        c AS (SELECT unnest(['$[*].l_returnflag', '$[*].l_linestatus', '$[*].l_linenumber']) AS path FROM (SELECT 1 FROM lineitem LIMIT 1)),
+        p AS (SELECT h.*, path FROM h JOIN c ON split_part(path, '.', -1) = field), r AS ({_sql_relation("lineitem", LINE_FIELDS)}),
+        s AS (SELECT x.name, max(relationship_strength) AS m FROM p x JOIN p y ON x.name = y.name AND x.field <> y.field JOIN r ON r.field_x = x.field AND r.field_y = y.field GROUP BY x.name)
+        SELECT p.name, 'dependency' AS relationship, weight, list(path ORDER BY path) AS matched_fields, max(coalesce(m, 0)) >= 0.25 AS observed, round(max(coalesce(m, 0)), 6) AS max_strength
+        FROM p LEFT JOIN s USING (name) GROUP BY ALL HAVING count(DISTINCT field) >= 2"""
+)
 def hint_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select(*LINE_FIELDS)
-    hints = [compare.Hint("status_of_line", ("l_returnflag", "l_linestatus"), "dependency", 0.9), compare.Hint("number_of_line", ("l_linenumber", "l_linestatus"), "dependency", 0.5), compare.Hint("absent", ("l_linenumber", "nowhere"), "dependency", 0.5)]
+    hints = [compare.Hint(n, fs, "dependency", w) for n, fs, w in _HINTS]
     paths = table_nodes(lines).select("path").distinct()
     return rounded(compare.evaluate_hints(hints, paths, relations.discover(lines)))
 
 
+# a table of pull requests made of orders, for the hints of that domain
+_PULLS = """(SELECT 'a' || (o_custkey % 20) AS author, 'a' || (o_custkey % 20) AS pr_author, 'r' || (o_custkey % 4) AS reviewer, o_orderstatus AS state, o_orderpriority AS review_state FROM orders)"""
+_PULL_FIELDS = ("author", "pr_author", "reviewer", "state", "review_state")
+
+
+@register(
+    f"""WITH h AS (SELECT * FROM (VALUES {', '.join(f"('{h.name}', '{h.relationship}', {h.weight}::DOUBLE, '{compare.trailing_key(f)}')" for hs in compare.HINTS.values() for h in hs for f in h.fields)}) t(name, relationship, weight, field)),
+        c AS (SELECT unnest([{', '.join(f"'$[*].{f}'" for f in _PULL_FIELDS)}]) AS path FROM (SELECT 1 FROM orders LIMIT 1)),
+        p AS (SELECT h.*, path FROM h JOIN c ON split_part(path, '.', -1) = field), r AS ({_sql_relation(_PULLS, _PULL_FIELDS)}),
+        s AS (SELECT x.name, max(relationship_strength) AS m FROM p x JOIN p y ON x.name = y.name AND x.field <> y.field JOIN r ON r.field_x = x.field AND r.field_y = y.field GROUP BY x.name)
+        SELECT p.name, relationship, weight, list(path ORDER BY path) AS matched_fields, max(coalesce(m, 0)) >= 0.25 AS observed, round(max(coalesce(m, 0)), 6) AS max_strength
+        FROM p LEFT JOIN s USING (name) GROUP BY ALL HAVING count(DISTINCT field) >= 2"""
+)
+def domain_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hints of the six domains, over pull requests."""
+    person = F.concat(F.lit("a"), (F.col("o_custkey") % 20).cast("string"))
+    pulls = read(spark, sf_dir, "orders").select(
+        person.alias("author"), person.alias("pr_author"), F.concat(F.lit("r"), (F.col("o_custkey") % 4).cast("string")).alias("reviewer"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("review_state")
+    )
+    every = [h for hs in compare.HINTS.values() for h in hs]
+    return rounded(compare.evaluate_hints(every, table_nodes(pulls).select("path").distinct(), relations.discover(pulls)))
+
+
 @register(
     """SELECT event_id AS record_id, 'npm' AS manifest, f AS finding, s AS severity, n::BIGINT AS count FROM events, (VALUES ('npm_dependency_count', 'info', 1), ('npm_missing_provenance', 'notable', 0)) t(f, s, n) WHERE event_id % 2 = 0
        UNION ALL SELECT event_id, 'npm', f, s, 1 FROM events, (VALUES ('npm_install_hook', 'concern'), ('npm_script_count', 'info')) t(f, s) WHERE event_id % 6 = 0"""
@@ -675,7 +805,9 @@ def structural_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH g AS (SELECT DISTINCT event_type AS g FROM events) SELECT g, min(g) OVER () AS cluster, count(*) OVER () AS size FROM g"""
+    """WITH RECURSIVE p AS (SELECT DISTINCT event_type AS g, json_structure(props)::VARCHAR AS s FROM events),
+       r AS (SELECT g AS a, g AS b FROM p UNION SELECT r.a, q.g FROM r JOIN p o ON o.g = r.b JOIN p q ON q.s = o.s), l AS (SELECT a AS g, min(b) AS cluster FROM r GROUP BY a)
+       SELECT g, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM l"""
 )
 def corpus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")

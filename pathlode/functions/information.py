@@ -57,8 +57,8 @@ def wilson_lower(hits: Column, total: Column, z: float = 1.959963984540054) -> C
 def quadrant(entropy_norm: Column, complexity: Column, cut: float = 0.5) -> Column:
     """random, structured, constant or anomalous, by normalised entropy and LZ complexity."""
     return (
-        F.when((entropy_norm >= cut) & (complexity >= cut), "random")
-        .when(entropy_norm >= cut, "structured")
-        .when(complexity < cut, "constant")
+        F.when((entropy_norm > cut) & (complexity > cut), "random")
+        .when(entropy_norm > cut, "structured")
+        .when(complexity <= cut, "constant")
         .otherwise("anomalous")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlode.functions import information as info
@@ -47,3 +47,20 @@ def type_instabilities(nodes: DataFrame, cut: float = INSTABILITY_CUT) -> DataFr
     pairs = F.array(*[F.struct(F.lit(t).alias("k"), F.col(f"n_{t}").alias("v")) for t in TYPES])
     spread = F.map_from_entries(F.filter(pairs, lambda e: e["v"] > 0))
     return path_inventory(nodes).where(F.col("type_instability") > cut).select("path", F.col("type_instability").alias("instability"), "dominant_type", spread.alias("type_distribution"))
+
+
+def anomaly_report(nodes: DataFrame, z_cut: float = Z_CUT, rarity_cut: float = RARITY_CUT, instability_cut: float = INSTABILITY_CUT) -> DataFrame:
+    """All three kinds in one table: kind, path, record_id, value, num, score.
+
+    The score is the modified z of a ``numeric_outlier``, the bits of a ``rare_value`` and the share of other
+    types of a ``type_instability``, whose value is the dominant type.
+    """
+    def row(kind: str, record: Column, value: Column, num: Column, score: str) -> list[Column]:
+        return [F.lit(kind).alias("kind"), F.col("path"), record.alias("record_id"), value.cast("string").alias("value"), num.cast("double").alias("num"), F.col(score).alias("score")]
+
+    none = F.lit(None)
+    record_type = dict(nodes.dtypes)["record_id"]
+    numbers = numeric_outliers(nodes, z_cut).select(*row("numeric_outlier", F.col("record_id"), none, F.col("value"), "z_mad"))
+    values = rare_values(nodes, rarity_cut).select(*row("rare_value", none.cast(record_type), F.col("value"), none, "rarity_bits"))
+    types = type_instabilities(nodes, instability_cut).select(*row("type_instability", none.cast(record_type), F.col("dominant_type"), none, "instability"))
+    return numbers.unionByName(values).unionByName(types)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathlode.operators.profile import path_inventory
+
 #: Hash functions of a signature, bands of the index, similarity that links (strictly more).
 HASHES, BANDS, THRESHOLD = 128, 16, 0.5
 
@@ -23,11 +25,16 @@ def document_paths(nodes: DataFrame, document: str = "record_id") -> DataFrame:
 
 
 def shape_fingerprints(nodes: DataFrame, document: str = "record_id", min_nodes: int = 0) -> DataFrame:
-    """document, nodes, path_set and typed_path hashes; withheld under ``min_nodes``."""
-    rows = nodes.groupBy(document).agg(
-        F.count("*").alias("nodes"),
-        F.array_join(F.array_sort(F.collect_set("path")), "\x01").alias("p"),
-        F.array_join(F.array_sort(F.collect_set(F.concat("path", F.lit(":"), "type"))), "\x01").alias("t"),
+    """document, nodes, path_set and typed_path hashes (each path with its dominant type); withheld under ``min_nodes``."""
+    return hashed_shapes(path_inventory(nodes, (document,)), document, min_nodes)
+
+
+def hashed_shapes(paths: DataFrame, document: str, min_nodes: int = 0) -> DataFrame:
+    """The hashes of :func:`shape_fingerprints` from document, path, count, dominant_type."""
+    rows = paths.groupBy(document).agg(
+        F.sum("count").alias("nodes"),
+        F.array_join(F.array_sort(F.collect_list("path")), "\x01").alias("p"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "dominant_type"))), lambda e: F.concat(e["path"], F.lit(":"), e["dominant_type"])), "\x01").alias("t"),
     )
     enough = F.col("nodes") >= min_nodes
     return rows.select(document, "nodes", F.when(enough, F.sha2("p", 256)).alias("path_set"), F.when(enough, F.sha2("t", 256)).alias("typed_path"), (~enough).alias("suppressed"))

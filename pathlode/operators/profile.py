@@ -9,6 +9,11 @@ from pathlode.functions import information as info
 from pathlode.sources.tables import TYPES, scalars
 
 
+def dominant() -> Column:
+    """The most frequent type by the columns ``n_<type>``; ties go to the later type."""
+    return F.greatest(*[F.struct(F.col(f"n_{t}").alias("n"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)])["t"]
+
+
 def path_inventory(nodes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """path, count, depth, dominant_type, type_instability, null_rate and a count for each type."""
     by_type = [F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES]

@@ -86,3 +86,31 @@ def operating_point(table: DataFrame, label: str, positive: str, features: list[
         F.col("m.j").alias("youden_j"),
         F.when(hit + fpr * (1 - rate) > 0, hit / (hit + fpr * (1 - rate))).alias("precision_at_base_rate"),
     )
+
+
+def operating_category(table: DataFrame, label: str, positive: str, features: list[str], base_rate: float | None = None) -> DataFrame:
+    """The value of each feature that, as an indicator, has the largest |J|: rule ``==`` or ``!=``, value, tpr, fpr, youden_j, precision.
+
+    A missing value is the value ``(absent)``. Ties keep the first value in text order; a feature without both
+    classes has no row. Precision as in :func:`operating_point`.
+    """
+    if base_rate is not None and not 0 < base_rate < 1:
+        raise SeparationError("the base rate lies between 0 and 1")
+    hit, miss = F.col("label") == positive, F.col("label") != positive
+    counted = feature_counts(table, label, features).groupBy("feature", "value").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(miss, F.col("n")).otherwise(0)).alias("b"))
+    totals = counted.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb")).where("na > 0 and nb > 0")
+    at = counted.join(totals, "feature").select("feature", "value", "na", "nb", (F.col("a") / F.col("na")).alias("t"), (F.col("b") / F.col("nb")).alias("f"))
+    best = at.groupBy("feature").agg(F.min(F.struct((-F.abs(F.col("t") - F.col("f"))).alias("j"), "value", "t", "f", "na", "nb")).alias("m"))
+    same = F.col("m.t") >= F.col("m.f")
+    tpr, fpr = F.when(same, F.col("m.t")).otherwise(1 - F.col("m.t")), F.when(same, F.col("m.f")).otherwise(1 - F.col("m.f"))
+    rate = F.lit(base_rate) if base_rate is not None else F.col("m.na") / (F.col("m.na") + F.col("m.nb"))
+    right, wrong = tpr * rate, fpr * (1 - rate)
+    return best.select(
+        "feature",
+        F.when(same, "==").otherwise("!=").alias("rule"),
+        F.col("m.value").alias("value"),
+        tpr.alias("tpr"),
+        fpr.alias("fpr"),
+        (-F.col("m.j")).alias("youden_j"),
+        F.when(right + wrong > 0, right / (right + wrong)).otherwise(F.lit(0.0)).alias("precision_at_base_rate"),
+    )

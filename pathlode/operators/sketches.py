@@ -48,6 +48,14 @@ def read_sketches(merged: DataFrame) -> DataFrame:
     )
 
 
+def sketch_bytes(merged: DataFrame) -> DataFrame:
+    """path, hll_bytes, kll_bytes, hll_error: what the sketches of a path take, and the standard error of its cardinality.
+
+    HyperLogLog stops growing at 2^HLL_BITS registers; the other grows with the logarithm of the count.
+    """
+    return merged.select("path", F.octet_length("hll").alias("hll_bytes"), F.octet_length("kll").alias("kll_bytes"), F.lit(1.04 / 2 ** (HLL_BITS / 2)).alias("hll_error"))
+
+
 def approximate_top(nodes: DataFrame, k: int = 10, max_items: int = 10_000) -> DataFrame:
     """path, value, count of about the k most frequent values of each path."""
     found = scalars(nodes).groupBy("path").agg(F.expr(f"approx_top_k(value, {k}, {max_items})").alias("t"))
@@ -105,4 +113,4 @@ def adaptive_statistics(nodes: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame
     )
 
 
-__all__ = ["adaptive_statistics", "approximate_top", "count_min", "ddsketch", "merge_sketches", "numeric_summary", "path_sketches", "read_sketches"]
+__all__ = ["adaptive_statistics", "approximate_top", "count_min", "ddsketch", "merge_sketches", "numeric_summary", "path_sketches", "read_sketches", "sketch_bytes"]

@@ -9,6 +9,8 @@ from pathlode.functions import information as info
 
 #: Numbers in this range are read as seconds since 1970 (years 2000 to 2050).
 EPOCH_RANGE = (946684800, 2524607999)
+#: Keys that name the author of a record.
+AUTHOR_KEYS = ("author", "committer", "user", "name")
 
 
 def window_label(ts: Column, window: str) -> Column:
@@ -115,3 +117,24 @@ def hot_entities(table: DataFrame, found: DataFrame, entity: str, event: str) ->
     hits = found.groupBy("entity").agg(F.count("*").alias("cascades"))
     both = totals.join(hits, "entity")
     return both.select("entity", "total", "cascades", (F.col("cascades") / F.col("total")).alias("cascade_ratio"), info.wilson_lower(F.col("cascades"), F.col("total")).alias("cascade_ratio_lower_bound"))
+
+
+def monotonic(table: DataFrame, keys: list[str], order: list[str], ts: str) -> DataFrame:
+    """For each key: events and whether each time, in the order of the records, is later than the one before."""
+    t = F.unix_seconds(F.col(ts).cast("timestamp"))
+    steps = table.where(F.col(ts).isNotNull()).select(*keys, (t - F.lag(t).over(Window.partitionBy(*keys).orderBy(*order))).alias("step"))
+    return steps.groupBy(*keys).agg(F.count("*").alias("events"), F.coalesce(F.every(F.col("step") > 0), F.lit(True)).alias("is_monotonic"))
+
+
+def cascade_summary(table: DataFrame, found: DataFrame, entity: str, author: str) -> DataFrame:
+    """One row: total_events, cascades, cascade_rate, self_fix_rate of cascades that keep ``author``.
+
+    The self-fix rate is the share of cascades whose trigger and response have the same author, 0 without
+    cascades. Where the entity is the author it would always be 1 and is null instead.
+    """
+    same = F.count_if((F.col(author) == F.col(f"next_{author}")) & (F.col(author).cast("string") != ""))
+    hits = found.agg(F.count("*").alias("cascades"), same.alias("same"))
+    tautology = entity == author or entity.rsplit(".", 1)[-1].removesuffix("[*]") in AUTHOR_KEYS
+    rate = F.lit(None).cast("double") if tautology else F.when(F.col("cascades") > 0, F.col("same") / F.col("cascades")).otherwise(F.lit(0.0))
+    both = table.agg(F.count("*").alias("total_events")).crossJoin(hits)  # one row each
+    return both.select("total_events", "cascades", F.when(F.col("total_events") > 0, F.col("cascades") / F.col("total_events")).otherwise(F.lit(0.0)).alias("cascade_rate"), rate.alias("self_fix_rate"))

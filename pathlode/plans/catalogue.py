@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathlode.functions import complexity, recognizers, redaction
 from pathlode.operators import anomalies, compare, drift, essence, fingerprints, governance, profile, relations, separation, sketches, temporal
 from pathlode.plans import query
+from pathlode.sources import records
 from pathlode.sources.documents import json_nodes
 from pathlode.sources.tables import table_nodes
 
@@ -813,3 +814,103 @@ def corpus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     shapes = fingerprints.merkle_shapes(events, "event_id", "props").join(events.select("event_id", "event_type"), "event_id")
     return compare.corpus_clusters(shapes, "event_type")
+
+
+def _record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON documents of all kinds: an object, an array with objects, an object with lists, an array without objects or no JSON."""
+    props, k = F.col("props"), F.col("event_id") % 4
+    body = (
+        F.when(k == 0, props)
+        .when(k == 1, F.concat(F.lit("["), props, F.lit(',5,"{x",'), props, F.lit(",[1]]")))
+        .when(k == 2, F.concat(F.lit('{"z":[{"k":1}],"list":[3,'), props, F.lit('],"a":[1,2]}')))
+        .when(F.col("user_id") % 2 == 0, F.lit("[1,2]"))
+        .otherwise(F.lit("no json"))
+    )
+    return read(spark, sf_dir, "events").select("event_id", body.alias("body"))
+
+
+@register(
+    """SELECT event_id % 4 AS kind, (CASE event_id % 4 WHEN 1 THEN n // 2 ELSE 0 END) AS pos, count(*) AS records, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total
+       FROM events, (VALUES (0), (2)) v(n) WHERE event_id % 4 <> 3 AND (event_id % 4 = 1 OR n = 0) GROUP BY ALL"""
+)
+def record_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.extract_records(_record_texts(spark, sf_dir), "event_id", "body")
+    return found.groupBy((F.col("event_id") % 4).alias("kind"), "pos").agg(F.count("*").alias("records"), F.sum(F.try_variant_get(records.select_field(F.col("record"), "$.k"), "$", "long")).alias("total"))
+
+
+@register(
+    """SELECT event_type AS indexed, CAST(user_id % 5 AS VARCHAR) AS dotted, '[10,{"c":"' || event_type || '"}]' AS container, NULL::VARCHAR AS grouped_container,
+       CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS flag, NULL::VARCHAR AS missing, count(*) AS n FROM events GROUP BY ALL"""
+)
+def field_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.when(F.col("user_id") % 2 == 0, "true").otherwise("false")
+    body = F.concat(F.lit('{"a":{"b":[10,{"c":"'), F.col("event_type"), F.lit('"}],"d":'), (F.col("user_id") % 5).cast("string"), F.lit('},"s":'), flag, F.lit(',"n":null}'))
+    r = F.col("record")
+    found = records.extract_records(read(spark, sf_dir, "events").select("event_id", body.alias("body")), "event_id", "body")
+    cells = found.select(
+        F.try_variant_get(records.select_field(r, "$.a.b[1].c"), "$", "string").alias("indexed"),
+        records.field_text(r, "$.a.d").alias("dotted"),
+        records.field_text(r, "a.b").alias("container"),
+        records.field_text(r, "a.b", containers=False).alias("grouped_container"),
+        records.field_text(r, "s", containers=False).alias("flag"),
+        records.field_text(r, "$.n").alias("missing"),
+    )
+    return cells.groupBy(*cells.columns).agg(F.count("*").alias("n"))
+
+
+@register(
+    """WITH c AS (SELECT event_type AS trigger, lead(event_type) OVER w AS response, user_id AS a, lead(user_id) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id % 50 ORDER BY ts, event_id)),
+       f AS (SELECT * FROM c WHERE trigger NOT LIKE '%error%' AND response LIKE '%error%')
+       SELECT (SELECT count(*) FROM events) AS total_events, count(*) AS cascades, round(count(*) / (SELECT count(*) FROM events), 6) AS cascade_rate, round(count(*) FILTER (a = b) / count(*), 6) AS self_fix_rate FROM f"""
+)
+def self_fix_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").withColumn("part", F.col("user_id") % 50)
+    found = temporal.cascades(events, "part", ["ts", "event_id"], "event_type", ["error"], keep=["user_id"])
+    return rounded(temporal.cascade_summary(events, found, "part", "user_id"))
+
+
+@register(
+    """WITH s AS (SELECT user_id % 20 AS part, epoch(date_trunc('second', ts))::BIGINT - lag(epoch(date_trunc('second', ts))::BIGINT) OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS step FROM events)
+       SELECT part, count(*) AS events, coalesce(bool_and(step > 0), true) AS is_monotonic FROM s GROUP BY part"""
+)
+def monotonic_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.monotonic(read(spark, sf_dir, "events").withColumn("part", F.col("user_id") % 20), ["part"], ["event_id"], "ts")
+
+
+def _sql_category(feature: str) -> str:
+    return f"""
+    SELECT '{feature}' AS feature, CASE WHEN t >= f THEN '==' ELSE '!=' END AS rule, v AS value, round(CASE WHEN t >= f THEN t ELSE 1 - t END, 6) + 0.0 AS tpr, round(CASE WHEN t >= f THEN f ELSE 1 - f END, 6) + 0.0 AS fpr, round(abs(t - f), 6) AS youden_j,
+           round(CASE WHEN t >= f THEN t * 0.1 / (t * 0.1 + f * 0.9) ELSE (1 - t) * 0.1 / ((1 - t) * 0.1 + (1 - f) * 0.9) END, 6) AS precision_at_base_rate
+    FROM (SELECT v, a / sum(a) OVER () AS t, b / sum(b) OVER () AS f FROM (SELECT coalesce({feature}, '(absent)') AS v, count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality <> 1) AS b FROM {_LABELLED} WHERE quality IS NOT NULL GROUP BY 1))
+    ORDER BY abs(t - f) DESC, v LIMIT 1"""
+
+
+@register(" UNION ALL ".join(f"SELECT * FROM ({_sql_category(f)})" for f in ("lang", "source")))
+def operating_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(separation.operating_category(_labelled(spark, sf_dir), "quality", "1", ["lang", "source"], base_rate=0.1))
+
+
+@register(
+    """WITH e AS (SELECT event_id, value, CASE WHEN event_id % 500 = 0 THEN 'rare ' || (event_id % 7) ELSE event_type END AS kind, CASE WHEN user_id % 7 = 1 THEN NULL ELSE user_id END AS v FROM events),
+       x AS (SELECT event_id, '$[*].value' AS path, value AS num FROM e UNION ALL SELECT event_id, '$[*].v', v::DOUBLE FROM e WHERE v IS NOT NULL),
+       c AS (SELECT path, median(num) AS m, mad(num) AS d FROM x GROUP BY path),
+       k AS (SELECT kind, count(*) AS n FROM e GROUP BY kind), b AS (SELECT kind, log2((SELECT sum(n) FROM k)) - log2(n) AS bits FROM k), mb AS (SELECT avg(bits) AS mean FROM b), db AS (SELECT median(abs(bits - mean)) AS mad FROM b, mb)
+       SELECT 'numeric_outlier' AS kind, path, event_id AS record_id, NULL::VARCHAR AS value, round(num, 6) AS num, round(0.6745 * (num - m) / d, 6) AS score FROM x JOIN c USING (path) WHERE abs(0.6745 * (num - m) / d) > 3.5
+       UNION ALL SELECT 'rare_value', '$[*].kind', NULL, kind, NULL, round(bits, 6) FROM b, mb, db WHERE mad > 2.3e-16 AND bits > mean + 2.0 * mad
+       UNION ALL SELECT 'type_instability', '$[*].v', NULL, CASE WHEN count(v) * 2 >= count(*) THEN 'integer' ELSE 'null' END, NULL, round(1 - greatest(count(v), count(*) - count(v)) / count(*), 6) FROM e"""
+)
+def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 500 == 0, F.concat(F.lit("rare "), (F.col("event_id") % 7).cast("string"))).otherwise(F.col("event_type"))
+    v = F.when(F.col("user_id") % 7 != 1, F.col("user_id"))
+    table = read(spark, sf_dir, "events").select("event_id", "value", kind.alias("kind"), v.alias("v"))
+    return rounded(anomalies.anomaly_report(table_nodes(table, ["value", "kind", "v"], F.col("event_id"))))
+
+
+@register(
+    """WITH c AS (SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS z, count(*) FILTER (event_id % 3 = 1) AS i, count(*) FILTER (event_id % 3 = 2) AS s FROM events GROUP BY user_id)
+       SELECT user_id AS record_id, 2 * (z + i + s) AS nodes, sha256('$[*]:object' || chr(1) || '$[*].v:' || CASE WHEN s >= i AND s >= z THEN 'string' WHEN i >= z THEN 'integer' ELSE 'null' END) AS typed_path FROM c"""
+)
+def typed_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("event_id") % 3 == 0, "null").when(F.col("event_id") % 3 == 1, "7").otherwise('"x"')
+    texts = read(spark, sf_dir, "events").select("user_id", F.concat(F.lit('{"v":'), v, F.lit("}")).alias("body"))
+    return fingerprints.shape_fingerprints(json_nodes(texts, "user_id", "body", root="$[*]")).select("record_id", "nodes", "typed_path")

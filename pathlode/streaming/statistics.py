@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pathlode.operators.fingerprints import hashed_shapes
+from pathlode.operators.profile import dominant, path_inventory
 from pathlode.operators.sketches import merge_sketches, path_sketches, read_sketches
-from pathlode.sources.tables import table_nodes
+from pathlode.sources.tables import TYPES, table_nodes
 
 
 def start_statistics(stream: DataFrame, state_path: str, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
@@ -43,3 +45,20 @@ def windowed_counts(stream: DataFrame, ts: str, key: str, width: str = "1 day",
 def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
     """Sessions by key: start, end and number of events, closed by a gap."""
     return stream.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+
+
+def start_fingerprint(stream: DataFrame, state_path: str, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
+    """Start a query that keeps the counts of types by path of ``stream`` under ``state_path``: one row a path and batch."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        path_inventory(table_nodes(batch, columns)).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+
+
+def read_fingerprint(spark: SparkSession, state_path: str) -> DataFrame:
+    """nodes, path_set and typed_path of all batches so far, as :func:`shape_fingerprints` gives them for the whole table."""
+    parts = spark.read.parquet(state_path)
+    added = parts.groupBy("path").agg(F.sum("count").alias("count"), *[F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES])
+    paths = added.select(F.lit(0).alias("stream"), "path", "count", dominant().alias("dominant_type"))
+    return hashed_shapes(paths, "stream").select("nodes", "path_set", "typed_path")

@@ -265,3 +265,25 @@ def test_essence_budget_and_profiles():
     assert essence.load_profiles("[profiles.mine.weights]\nrarity = 1.0\n")["mine"].weights[0] == 1.0
     assert "enum_like" in essence.render_text(rows) and essence.render_compact(rows)["d"]
     assert all(abs(sum(w) - 1) < 1e-9 for w in essence.PROFILES.values())
+
+
+def test_quadrants_are_strictly_over_the_cut(spark):
+    from pathlode.functions import information
+
+    rows = spark.createDataFrame([(0.5, 0.5), (0.6, 0.5), (0.5, 0.6), (0.6, 0.6)], "e double, c double")
+    assert [r[0] for r in rows.select(information.quadrant(F.col("e"), F.col("c"))).collect()] == ["constant", "structured", "anomalous", "random"]
+
+
+def test_operating_category(spark):
+    rows = spark.createDataFrame([("a", "1")] * 3 + [("b", "1"), ("a", "0"), ("b", "0"), (None, "0"), (None, "0")], "f string, y string")
+    row = separation.operating_category(rows, "y", "1", ["f"], base_rate=0.5).first()
+    assert (row.rule, row.value, row.tpr, row.fpr, row.youden_j) == ("!=", "(absent)", 1.0, 0.5, 0.5)
+    assert separation.operating_category(rows.where("y = '1'"), "y", "1", ["f"]).count() == 0
+
+
+def test_self_fix_rate(spark):
+    rows = spark.createDataFrame([("f", 1, "feat", "A"), ("f", 2, "fix", "A"), ("f", 3, "feat", "A"), ("f", 4, "fix", "B"), ("g", 1, "fix", "C")], "file string, t int, kind string, author string")
+    found = temporal.cascades(rows, "file", ["t"], "kind", ["fix"], keep=["author"])
+    assert tuple(temporal.cascade_summary(rows, found, "file", "author").first()) == (5, 2, 0.4, 0.5)
+    assert temporal.cascade_summary(rows, temporal.cascades(rows, "author", ["t"], "kind", ["fix"], keep=["author"]).withColumn("author", F.lit("A")).withColumn("next_author", F.lit("A")), "author", "author").first().self_fix_rate is None
+    assert tuple(temporal.cascade_summary(rows.where("false"), found.where("false"), "file", "author").first()) == (0, 0, 0.0, 0.0)

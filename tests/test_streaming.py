@@ -1,4 +1,5 @@
-from pathlode.operators.sketches import path_sketches, read_sketches
+from pathlode.operators.fingerprints import shape_fingerprints
+from pathlode.operators.sketches import merge_sketches, path_sketches, read_sketches, sketch_bytes
 from pathlode.sources.tables import table_nodes
 from pathlode.streaming import statistics
 from pyspark.sql import functions as F
@@ -28,3 +29,22 @@ def test_windows_and_sessions(spark, tmp_path):
         running.processAllAvailable()
         running.stop()
         assert {(r.k, r.n) for r in spark.table(name).collect()} >= {("a", 2), ("a", 1)}
+
+
+def test_fingerprint_of_a_stream(spark, tmp_path):
+    table = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"), F.col("id").cast("double").alias("x"))
+    table.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running = statistics.start_fingerprint(stream, str(tmp_path / "state"), str(tmp_path / "check"))
+    running.processAllAvailable()
+    running.stop()
+    want = shape_fingerprints(table_nodes(table, record_id=F.lit(1))).select("nodes", "path_set", "typed_path").collect()
+    assert statistics.read_fingerprint(spark, str(tmp_path / "state")).collect() == want
+
+
+def test_sketch_bytes_do_not_grow_with_the_table(spark):
+    def most(n):
+        rows = sketch_bytes(merge_sketches(path_sketches(table_nodes(spark.range(n).select(F.col("id").cast("string").alias("x")))))).collect()
+        return max(r.hll_bytes for r in rows)
+
+    assert most(20000) == most(200000) < 3000

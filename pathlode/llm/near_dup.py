@@ -273,9 +273,10 @@ def across(stars: DataFrame, label: DataFrame, payload: DataFrame) -> DataFrame:
     that one member alone has come first and match nothing, so they are counted and not listed.
     """
     named = stars.join(label.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    heads = stars.select("a").distinct().join(label.select(F.col("node").alias("a"), F.col("label").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a"))
-    apart = named.join(heads, "a").groupBy("a").agg(F.count_if(F.col("label") != F.col("own")).alias("out"), F.count("*").alias("c")).where("out > 0 and c > 1").select("a", "c")
-    active = materialize(spread_join(named, materialize(apart, "unsettled"), ["a"], "c").drop("c"), "apart")
+    heads = stars.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").join(label.select(F.col("node").alias("a"), F.col("label").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a"))
+    named = materialize(spread_join(named, materialize(heads, "heads"), ["a"], "c"), "named")
+    apart = named.groupBy("a").agg(F.count_if(F.col("label") != F.col("own")).alias("out"), F.count("*").alias("c")).where("out > 0").select("a", "c")
+    active = materialize(spread_join(named.drop("own", "c"), materialize(apart, "unsettled"), ["a"], "c").drop("c"), "apart")
     told = deal_stars(active.select("a", "b"), payload, ["text"]).mapInArrow(_difference_batches, "a long, b long, n long, size long, tokens array<long>")
     told = materialize(told.join(active, ["a", "b"]), "differences")
     each = told.select("a", "b", F.explode("tokens").alias("token"))
@@ -343,7 +344,9 @@ def links_of(sketched: DataFrame, classes: DataFrame) -> DataFrame:
     size = payload.select("cid", F.col("n_shingles").alias("n"))
 
     def test(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(size.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
+        pairs = materialize(pairs, "pairs")
+        heads = pairs.groupBy("a").agg(F.count("*").alias("c")).join(size.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a")
+        sized = spread_join(pairs, materialize(heads, "heads"), ["a"], "c").join(size.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
         return materialize(confirm(sized.where(_near("na", "nb")).select("a", "b"), payload), "confirmed")
 
     # first the smallest member of each band, whoever that is

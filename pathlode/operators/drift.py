@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathlode.operators.ordered import running
 from pathlode.operators.profile import path_inventory
 from pathlode.sources.tables import scalars
 
@@ -66,17 +67,14 @@ def jensen_shannon(paired: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def ordered_comparison(paired: DataFrame, keys: tuple[str, ...], item: str = "num") -> DataFrame:
     """keys, wasserstein, cliffs_delta and auc of two numeric samples given by counts a and b of each number.
 
-    One pass of running sums in the order of the numbers gives the distance between the two cumulative
-    distributions and the rank comparison.
+    Running sums in the order of the numbers give the distance between the two cumulative distributions
+    and the rank comparison. Null numbers are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(item)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*keys)
-    run = paired.select(
+    run = running(paired, keys, item, ("a", "b")).select(
         *keys, item, "a", "b",
-        F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"),
-        F.sum("a").over(every).alias("na"), F.sum("b").over(every).alias("nb"),
-        (F.lead(item).over(w) - F.col(item)).alias("step"),
+        (F.col("before_a") + F.col("a")).alias("ca"), (F.col("before_b") + F.col("b")).alias("cb"),
+        F.col("total_a").alias("na"), F.col("total_b").alias("nb"),
+        (F.col(f"next_{item}") - F.col(item)).alias("step"),
     ).where("na > 0 and nb > 0")
     gap = F.coalesce(F.col("step") * F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")), F.lit(0.0))
     # b's below this number minus b's above it

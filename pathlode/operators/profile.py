@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlode.functions import information as info
+from pathlode.operators.ordered import percentiles
 from pathlode.sources.tables import TYPES, scalars
 
 
@@ -76,8 +77,8 @@ def renyi_spectrum(frequency: DataFrame, order: float = 2.0) -> DataFrame:
 def numeric_summary(nodes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """min, max, mean, median, mad and percentiles (linear interpolation) of the numbers of each path.
 
-    Equal numbers are counted first and enter the exact percentiles as weights, so a path with few
-    distinct numbers stays small whatever its length. MAD is unscaled.
+    Equal numbers are counted first and enter the exact percentiles as weights; the percentiles come from
+    counts by cell (:mod:`pathlode.operators.ordered`), so no path's numbers meet in one buffer. MAD is unscaled.
     """
     counted = nodes.where("num is not null and not isnan(num)").groupBy(*keys, "path", "num").agg(F.count("*").alias("w"))
     first = counted.groupBy(*keys, "path").agg(
@@ -85,13 +86,14 @@ def numeric_summary(nodes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         F.min("num").alias("min"),
         F.max("num").alias("max"),
         (F.sum(F.col("num") * F.col("w")) / F.sum("w")).alias("mean"),
-        F.percentile("num", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]), F.col("w")).alias("p"),
     )
-    centers = first.select(*[F.col(k).alias(f"__{k}") for k in (*keys, "path")], F.col("p")[2].alias("__median"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "path")]
-    spread = counted.join(centers, same).groupBy(*keys, "path").agg(F.percentile(F.abs(F.col("num") - F.col("__median")), 0.5, F.col("w")).alias("mad"))
-    spread = spread.select(*[F.col(k).alias(f"__{k}") for k in (*keys, "path")], "mad")
-    return first.join(spread, same).select(
+    places = percentiles(counted, (*keys, "path"), "num", "w", (0.05, 0.25, 0.5, 0.75, 0.95))
+    centers = places.select(*[F.col(k).alias(f"__k_{k}") for k in (*keys, "path")], "p")
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in (*keys, "path")]
+    apart = counted.join(centers, same).select(*keys, "path", F.abs(F.col("num") - F.col("p")[2]).alias("apart"), "w")
+    spread = percentiles(apart, (*keys, "path"), "apart", "w", (0.5,))
+    spread = spread.select(*[F.col(k).alias(f"__s_{k}") for k in (*keys, "path")], F.col("p")[0].alias("mad"))
+    return first.join(centers, same).join(spread, [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in (*keys, "path")]).select(
         *keys, "path", "count", "min", "max", "mean", F.col("p")[2].alias("median"), "mad", *[F.col("p")[i].alias(n) for i, n in ((0, "p05"), (1, "p25"), (3, "p75"), (4, "p95"))]
     )
 

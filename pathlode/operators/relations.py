@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlode.functions import information as info
+from pathlode.operators.ordered import running
 
 
 def binned(table: DataFrame, column: str, bins: int = 5, strategy: str = "quantile") -> DataFrame:
@@ -26,12 +27,12 @@ def binned(table: DataFrame, column: str, bins: int = 5, strategy: str = "quanti
         width = (r.hi - r.lo) / bins
         cell = F.least(F.lit(bins - 1), F.floor((x.cast("double") - r.lo) / width))
         return table.withColumn(column, F.when(x.isNotNull(), cell.cast("int").cast("string")))
-    upto = F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("d")).first()
     if not size.n or size.d <= bins:
         return table
     at = F.array(*[F.lit(i * size.n // bins) for i in range(1, bins)])
-    hits = counts.withColumn("upto", upto).select("x", F.explode(F.filter(at, lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("c")))).alias("k"))
+    before = F.col("before_c")
+    hits = running(counts, (), "x", ("c",)).select("x", F.explode(F.filter(at, lambda k: (k >= before) & (k < before + F.col("c")))).alias("k"))
     cuts = [r.x for r in hits.orderBy("k").collect()]  # bins - 1 numbers
     cell = sum(((F.lit(c) < x.cast("double")).cast("int") for c in cuts), F.lit(0))
     return table.withColumn(column, F.when(x.isNotNull(), cell.cast("string")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathlode.functions import information as info
 from pathlode.operators.drift import ordered_comparison
+from pathlode.operators.ordered import running
 
 
 class SeparationError(ValueError):
@@ -66,10 +67,8 @@ def operating_point(table: DataFrame, label: str, positive: str, features: list[
     if base_rate is not None and not 0 < base_rate < 1:
         raise SeparationError("the base rate lies between 0 and 1")
     counted = numeric_pairs(table, label, positive, features)
-    below = Window.partitionBy("feature").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("feature")
-    run = counted.select(
-        "feature", "num", F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"), F.coalesce(F.sum("a").over(below), F.lit(0)).alias("ca"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("cb")
+    run = running(counted, ("feature",), "num", ("a", "b")).select(
+        "feature", "num", F.col("total_a").alias("na"), F.col("total_b").alias("nb"), F.col("before_a").alias("ca"), F.col("before_b").alias("cb")
     ).where("na > 0 and nb > 0")
     at = run.select("feature", "num", "na", "nb", (1 - F.col("ca") / F.col("na")).alias("t"), (1 - F.col("cb") / F.col("nb")).alias("f"))
     best = at.groupBy("feature").agg(F.max(F.struct(F.abs(F.col("t") - F.col("f")).alias("j"), (-F.col("num")).alias("first"), "num", "t", "f", "na", "nb")).alias("m"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlode.functions import information as info
+from pathlode.operators.ordered import percentiles
 
 #: Numbers in this range are read as seconds since 1970 (years 2000 to 2050).
 EPOCH_RANGE = (946684800, 2524607999)
@@ -81,9 +82,10 @@ def gaps(table: DataFrame, keys: list[str], ts: str) -> DataFrame:
     t = F.unix_seconds(F.col(ts).cast("timestamp"))
     steps = table.where(F.col(ts).isNotNull()).select(*keys, (t - F.lag(t).over(Window.partitionBy(*keys).orderBy(t))).alias("gap"))
     counted = steps.where("gap is not null").groupBy(*keys, "gap").agg(F.count("*").alias("w"))
-    mid = counted.groupBy(*keys).agg(F.percentile("gap", 0.5, F.col("w")).alias("median_gap"))
+    mid = percentiles(counted, tuple(keys), "gap", "w", (0.5,)).select(*keys, F.col("p")[0].alias("median_gap"))
     both = counted.join(mid, keys)
-    mad = both.groupBy(*keys).agg(F.percentile(F.abs(F.col("gap") - F.col("median_gap")), 0.5, F.col("w")).alias("mad_gap"))
+    apart = both.select(*keys, F.abs(F.col("gap") - F.col("median_gap")).alias("apart"), "w")
+    mad = percentiles(apart, tuple(keys), "apart", "w", (0.5,)).select(*keys, F.col("p")[0].alias("mad_gap"))
     limit = F.col("median_gap") + 3 * F.col("mad_gap")
     return both.join(mad, keys).groupBy(*keys, "median_gap", "mad_gap").agg(
         (F.sum("w") + 1).alias("events"), F.sum(F.when(F.col("gap") == 0, F.col("w")).otherwise(0)).alias("duplicates"), F.sum(F.when((limit > 0) & (F.col("gap") > limit), F.col("w")).otherwise(0)).alias("n_gaps")

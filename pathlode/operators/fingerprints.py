@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -12,11 +13,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from pathlode.operators import set_parts
 from pathlode.operators.profile import path_inventory
 
 #: Hash functions of a signature, bands of the index, similarity that links (strictly more).
 HASHES, BANDS, THRESHOLD = 128, 16, 0.5
+#: Sets of fewer items are compared by single items, larger ones in parts of about so many items of all sets.
+LONG, PART_ITEMS = 64, 1_000_000
 
 
 def document_paths(nodes: DataFrame, document: str = "record_id") -> DataFrame:
@@ -123,22 +128,50 @@ def jaccard_pairs(items: DataFrame, document: str, item: str, least: float = THR
     left, right = (keys.select("k", F.col("d").alias(x), F.col("n").alias("n" + x), F.col("at").alias("at" + x)) for x in "ab")
     met = left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(f + x).alias(f + x) for f in ("n", "at") for x in "ab"])
     most = F.col("c") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
-    met = met.where(most > least * (F.col("na") + F.col("nb") - most)).select("a", "b")
-    both = met.join(sets.select(F.col("d").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("y")), "b")
+    return _confirmed(met.where(most > least * (F.col("na") + F.col("nb") - most)).select("a", "b"), sets, least)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b, jaccard of the pairs (a, b) whose whole sets (d, s) are similar."""
+    both = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("y")), "b")
     return both.select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("jaccard")).where(F.col("jaccard") > least)
 
 
 def similar_links(items: DataFrame, document: str, item: str, least: float = THRESHOLD) -> DataFrame:
     """Edges (a, b) that connect just the documents which links over ``least`` connect, exactly.
 
-    Documents of equal sets are linked to the smallest of them, and only that one is compared with others.
+    Documents of equal sets are linked to the smallest of them, and only that one is compared with others:
+    sets under LONG items by :func:`jaccard_pairs`, larger ones in parts of the items (see ``set_parts``).
+    """
+    slim = items.select(F.col(document).alias("d"), F.col(item).alias("i")).where("d is not null and i is not null")
+    sets = slim.groupBy("d").agg(F.sort_array(F.collect_set("i")).alias("s")).select("d", "s", F.sha2(F.to_json("s"), 256).alias("k"))
+    firsts = sets.groupBy("k").agg(F.min("d").alias("a")).select("a")
+    marked = _cut(sets.join(firsts, F.col("d") == F.col("a"), "left").select("d", "k", F.when(F.col("a").isNotNull(), F.col("s")).alias("s")))
+    unlike = marked.where("s is not null").select("d", "s", F.size("s").alias("n"))
+    named = marked.where("s is not null").select("k", F.col("d").alias("a"))
+    links = named.join(marked.where("s is null").select("k", F.col("d").alias("b")), "k").select("a", "b")
+    # items by the power of two that a set's size reaches
+    sizes = {r.c: r.n for r in unlike.groupBy((F.length(F.bin("n")) - 1).alias("c")).agg(F.sum("n").alias("n")).collect()}
+    if any(1 << c < LONG for c in sizes):
+        short = unlike.where(F.col("n") * least < LONG).select("d", F.explode("s").alias("i"))
+        links = links.union(jaccard_pairs(short, "d", "i", least).select("a", "b"))
+    met = [_met_in_parts(unlike, 1 << c, sum(n for k, n in sizes.items() if k >= c and (1 << k) * least < 2 << c), least) for c in sizes if 1 << c >= LONG]
+    if met:
+        links = links.union(_confirmed(functools.reduce(DataFrame.union, met).distinct(), unlike, least).select("a", "b"))
+    return links
+
+
+def _met_in_parts(sets: DataFrame, size: int, items: int, least: float) -> DataFrame:
+    """Candidate pairs (a, b) of the sets (d, s, n) whose smaller one has ``size`` to twice as many items; none is lost.
+
+    ``items`` tells the number of parts; they keep at least four items of a set on average, since smaller ones
+    would let too many pairs through.
     """
-    slim = items.select(F.col(document).alias("d"), F.col(item).alias("i")).where("d is not null and i is not null").distinct()
-    sets = slim.groupBy("d").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("i"))), 256).alias("s"))
-    firsts = sets.groupBy("s").agg(F.min("d").alias("a"))
-    copies = sets.join(firsts, "s").where("d <> a").select("a", F.col("d").alias("b"))
-    unlike = slim.join(firsts.select(F.col("a").alias("d")), "d")
-    return copies.union(jaccard_pairs(unlike, "d", "i", least).select("a", "b"))
+    parts = max(1, min(size // 4, -(-items // PART_ITEMS)))
+    rows = sets.where((F.col("n") >= size) & (F.col("n") * least < 2 * size)).select("d", F.transform("s", lambda x: F.xxhash64(x)).alias("h"))
+    kind, arrow = dict(rows.dtypes)["d"], to_arrow_type(rows.schema["d"].dataType)
+    split = rows.mapInArrow(set_parts.splitter(parts, 2 * size, arrow), f"p int, d {kind}, own boolean, h array<long>")
+    return split.groupBy("p").applyInArrow(set_parts.finder(least, arrow), f"a {kind}, b {kind}")
 
 
 def minhash_signatures(items: DataFrame, document: str, item: str, hashes: int = HASHES) -> DataFrame:

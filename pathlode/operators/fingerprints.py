@@ -157,10 +157,27 @@ def similar_links(items: DataFrame, document: str, item: str, least: float = THR
         links = links.union(jaccard_pairs(short, "d", "i", least).select("a", "b"))
     met = [_met_in_parts(unlike, 1 << c, sum(n for k, n in sizes.items() if k >= c and (1 << k) * least < 2 << c), least) for c in sizes if 1 << c >= LONG]
     if met:
-        links = links.union(_confirmed(functools.reduce(DataFrame.union, met).distinct(), unlike, least).select("a", "b"))
+        pairs = functools.reduce(DataFrame.union, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.union(_connecting(_cut(pairs), unlike, least))
     return links
 
 
+def _connecting(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Similar ones of the pairs (a, b), a < b, that connect all that the similar ones connect.
+
+    In a large group of near copies most pairs need not be confirmed: each set is confirmed with the
+    smallest that it met first, and then only the pairs that this has not connected.
+    """
+    if pairs.count() <= sets.count():
+        return _confirmed(pairs, sets, least).select("a", "b")
+    stars = _cut(_confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least).select("a", "b"))
+    labels = connected(stars)
+    for x in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("component").alias("c" + x)), x, "left")
+    apart = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return stars.union(_confirmed(apart, sets, least).select("a", "b"))
+
+
 def _met_in_parts(sets: DataFrame, size: int, items: int, least: float) -> DataFrame:
     """Candidate pairs (a, b) of the sets (d, s, n) whose smaller one has ``size`` to twice as many items; none is lost.
 

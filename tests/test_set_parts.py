@@ -78,3 +78,21 @@ def test_pairs_that_only_share_items_are_not_shuffled(spark):
     links = fingerprints.similar_links(rows, "d", "i").collect()
     assert sorted((r.a, r.b) for r in links) in ([(7, 300)], [(300, 7)])
     assert _shuffled_rows(spark) - before < len(sets) * 100
+
+
+def test_near_copies_are_not_all_confirmed(spark, monkeypatch):
+    """A group of near copies, two of its members that are like each other but unlike its smallest, and a chain."""
+    rng = random.Random(4)
+    base = rng.sample(range(1000), 100)
+    sets = {d: _near(rng, base, 0.9) for d in range(40)}
+    sets[40] = set(base[:60]) | set(range(2000, 2040))
+    sets[41] = set(base[:60]) | set(range(2000, 2030)) | set(range(3000, 3010))
+    for d in range(50, 55):
+        sets[d] = set(range(5000 + 30 * d, 5100 + 30 * d))
+    asked = []
+    confirmed = fingerprints._confirmed
+    monkeypatch.setattr(fingerprints, "_confirmed", lambda pairs, *rest: asked.append(pairs.count()) or confirmed(pairs, *rest))
+    rows = spark.createDataFrame([(d, i) for d, s in sets.items() for i in s], "d long, i long")
+    got = {r.d: r.cluster for r in fingerprints.clusters(rows, "d", fingerprints.similar_links(rows, "d", "i")).collect()}
+    assert got == _brute_clusters(sets) and got[41] == 40 and got[54] == 50
+    assert sum(asked) < 3 * len(sets)
